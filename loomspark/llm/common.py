@@ -11,13 +11,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of an Arrow batch are also bounded in bytes, so that very long texts cannot fill a Python worker.
-ARROW_BATCH_BYTES = 32 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the input folder; the path is only ever opened by Spark."""
+    for key, most in (("maxBytesPerBatch", 2 * ARROW_BATCH_BYTES), ("maxRecordsPerBatch", 4096)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))  # batches are bounded in bytes, whatever the rows
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,20 +62,21 @@ def drop(df: DataFrame) -> None:
         fs.delete(where, True)
 
 
-def arrow_map(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches as column lists: ``function`` gets name -> list and returns name -> list."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
+def append(df: DataFrame, inputs: list[str], function: Callable, added: str) -> DataFrame:
+    """``df`` with the columns of ``added`` (a DDL string) after its own; ``function`` maps the Arrow columns
+    ``inputs`` of a batch to one Arrow array for each. A column of ``df`` with one of the new names gives way."""
+    new = _parse_datatype_string(added)
+    old = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new.names])
+    kinds = to_arrow_schema(new)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch):
-                made = function({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+                made = function(*[part.column(n) for n in inputs])
+                arrays = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *kinds.names])
 
-    return df.mapInArrow(batches, schema)
+    return old.mapInArrow(batches, StructType([*old.schema.fields, *new.fields]))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from . import common
 
 SHINGLE, PERMUTATIONS, BAND_PERMUTATIONS, SEED = 5, 128, 4, 20260
-SMALL, LEADERS = 32, 8
+SMALL, LEADERS, UNIT = 32, 8, 128
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -107,6 +107,12 @@ def _hashed(rows):
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_set(x.as_py()).tobytes() for x in part.column("text")], pa.binary())], names=["node", "full"])
 
 
+def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(other, one)
+    both = int((other[np.minimum(at, len(other) - 1)] == one).sum())
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
 def _verified(percent: int):
     """Arrow batches (a, b, full_a, full_b) -> the pairs (a, b) that reach the similarity on their full sets."""
 
@@ -117,16 +123,31 @@ def _verified(percent: int):
             for i in range(batch.num_rows):
                 if b[i].as_py() != last:
                     last, kept = b[i].as_py(), np.frombuffer(fb[i].as_buffer(), np.uint64)
-                mine = np.frombuffer(fa[i].as_buffer(), np.uint64)
-                at = np.searchsorted(kept, mine)
-                both = int((kept[np.minimum(at, len(kept) - 1)] == mine).sum())
-                good.append(100 * both >= percent * (len(mine) + len(kept) - both))
+                good.append(alike(np.frombuffer(fa[i].as_buffer(), np.uint64), kept, percent))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     return run
 
 
+def _compared(percent: int):
+    """One unit of a bucket, Arrow columns (side, node, label, n, full): leaders (side 1) against members (side 0)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, node, label, n = (rows.column(c).to_numpy() for c in ("side", "node", "label", "n"))
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("full")]
+        found: list[list[int]] = [[], []]
+        for b in np.flatnonzero(side == 1):
+            fits = (side == 0) & (label != label[b]) & (100 * np.minimum(n, n[b]) >= percent * np.maximum(n, n[b]))
+            for a in np.flatnonzero(fits):
+                if alike(full[a], full[b], percent):
+                    found[0].append(int(node[a]))
+                    found[1].append(int(node[b]))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, near_group, text_key)`` for ``docs(doc_id, text)``; links need 100 * common >= percent * union."""
     spark = docs.sparkSession
@@ -152,6 +173,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         lead = leaders.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
         return all_members.join(lead, "bucket").where("node <> b and label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "n", "m")
 
+    def in_units(leaders: DataFrame, all_members: DataFrame) -> DataFrame:
+        """The same for many leaders in large buckets: each full set goes once to each unit of at most about ``UNIT``
+        members and ``UNIT`` leaders of a bucket, not once to each pair."""
+        shape = leaders.groupBy("bucket").agg(F.ceil(F.count("*") / UNIT).alias("wide"), F.ceil(F.max("size") / UNIT).alias("high"))
+        dealt = lambda df, by: F.pmod(F.xxhash64("node", F.lit(by)), F.col(by))
+        every = lambda by: F.explode(F.sequence(F.lit(0).cast("long"), F.col(by) - 1))
+        columns = ["bucket", "node", "label", "n"]
+        low = all_members.join(shape, "bucket").withColumn("y", dealt(all_members, "high")).withColumn("x", every("wide")).select(*columns, "x", "y", F.lit(0).alias("side"))
+        lead = leaders.join(shape, "bucket").withColumn("x", dealt(leaders, "wide")).withColumn("y", every("high")).select(*columns, "x", "y", F.lit(1).alias("side"))
+        full = low.union(lead).join(sets, "node").select("bucket", "x", "y", "side", "node", "label", "n", "full")
+        return full.groupBy("bucket", "x", "y").applyInArrow(_compared(percent), "a long, b long")
+
     own = members.withColumn("label", F.col("node"))
     links = common.cut(confirm(against(own.where("tested"), own)))
     labels = common.components(links)
@@ -168,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
         turn = Window.partitionBy("bucket").orderBy("node")
         chosen = common.cut(large.where("not tested and label <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= leaders).drop("turn"))
-        found = common.cut(confirm(against(small, small).union(against(chosen, large))))
+        found = common.cut(confirm(against(small, small)).union(in_units(chosen, large)).distinct())
         if not found.isEmpty():
             links = common.cut(links.union(found))
             labels = common.components(links)

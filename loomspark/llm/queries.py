@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, line_crf, minmax, mixing, near_vectors, secret_scan, sharding, topk, url_filter
+from . import bpe, licences, line_crf, minmax, mixing, near_vectors, secret_scan, sharding, topk, url_filter
 
 QUERIES = {
     "op1_near_vectors": near_vectors.op1_near_vectors,
+    "op2_licence_scan": licences.op2_licence_scan,
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_minmax_near_dedup": minmax.op4_minmax_near_dedup,
     "op5_sharding": sharding.op5_sharding,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_vectors": near_vectors.SQL,
+    "op2_licence_scan": licences.SQL,
     "op9_url_filter": url_filter.SQL,
 }

@@ -198,14 +198,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         members = common.cut(known.join(open_buckets, "bucket"))
         if members.isEmpty():
             break
-        small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
         turn = Window.partitionBy("bucket").orderBy("node")
-        chosen = common.cut(large.where("not tested and label <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= leaders).drop("turn"))
-        found = common.cut(confirm(against(small, small)).union(in_units(chosen, large)).distinct())
+        chosen = members.where("not tested and label <> main").withColumn("turn", F.row_number().over(turn))
+        chosen = common.cut(chosen.where((F.col("size") <= SMALL) | (F.col("turn") <= leaders)).drop("turn"))
+        found = common.cut(in_units(chosen, members).distinct())
         if not found.isEmpty():
             links = common.cut(links.union(found))
             labels = common.components(links)
-        members = large.join(chosen.select("bucket", "node", F.lit(True).alias("now")), ["bucket", "node"], "left").select("bucket", "node", "n", "size", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
+        members = members.where(F.col("size") > SMALL).join(chosen.select("bucket", "node", F.lit(True).alias("now")), ["bucket", "node"], "left").select("bucket", "node", "n", "size", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
         leaders *= 2
     of_node = nodes.select("node", "least_doc").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least_doc")
     least = of_node.groupBy("label").agg(F.min("least_doc").alias("component_id"))

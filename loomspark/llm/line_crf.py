@@ -145,7 +145,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> Model:
     """A model for documents (features, line weights) and their labels (1 good, 0 bad)."""
     prior = (good.sum() + 1) / (len(good) + 2)
     model = Model(np.zeros(3 * OWN), np.zeros((2, 2)), np.array([np.log(prior / (1 - prior)), 0.0, 0.0, 0.0]))
-    if good.min(initial=1) == good.max(initial=0):
+    if len(set(good.tolist())) < 2:
         return model
     weights, moves = model.weights.copy(), np.array([[1.0, -1.0], [-1.0, 1.0]])
     parts, total = [], sum(len(f) for f, _ in docs)

@@ -13,7 +13,8 @@ k rows for each query and task.
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; only vectors of one
 dimension are compared; equal scores rank by the smaller vec_id; rows that repeat a vec_id are candidates of each other
 no more than a row is of itself; a null vec_id takes no part; an empty table gives an empty result; other columns are
-ignored. Products are exact in doubles while they stay below 2**53, and are taken in Python integers above.
+ignored. Products are exact in doubles while they stay below 2**53, and are
+taken in Python integers above; beyond the range of a long they count as its end.
 """
 
 from __future__ import annotations
@@ -90,6 +91,7 @@ def best(queries: np.ndarray, ids: np.ndarray, block: np.ndarray, turn: np.ndarr
         scores = (queries[alive] @ block[some].T)[rows, np.searchsorted(some, columns)]
     else:
         scores = [sum(int(a) * int(b) for a, b in zip(queries[alive[r]], block[c], strict=True)) for r, c in zip(rows, columns, strict=True)]
+        scores = [max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores]
     return [(int(alive[r]), int(ids[c]), int(s)) for r, c, s in zip(rows, columns, scores, strict=True)]
 
 

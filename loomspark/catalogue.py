@@ -1,4 +1,11 @@
 """All registered queries: one module of ``plans`` for each area, merged here."""
 
+from __future__ import annotations
+
+from .plans import relational_queries
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in (relational_queries,):
+    QUERIES |= _module.area.queries
+    ORACLE_SQL |= _module.area.sql

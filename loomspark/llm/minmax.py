@@ -187,11 +187,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     own = members.withColumn("label", F.col("node"))
     links = common.cut(confirm(against(own.where("tested"), own)))
-    labels = common.components(links)
-    leaders = LEADERS
+    labels = sets.select("node").join(common.components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    labels, leaders = common.cut(labels), LEADERS
     while True:
         # Links that are still unknown join two components, so one of their ends lies outside the bucket's main component.
-        known = members.join(labels, "node", "left").select("bucket", "node", "n", "size", "tested", F.coalesce("label", "node").alias("label"))
+        known = members.join(labels, "node").select("bucket", "node", "n", "size", "tested", "label")
         known = common.cut(known)
         main = known.groupBy("bucket", "label").agg(F.count("*").alias("many")).groupBy("bucket").agg(F.max_by("label", F.struct("many", "label")).alias("main"))
         open_buckets = known.where("not tested").join(main, "bucket").where("label <> main").select("bucket", "main").distinct()
@@ -202,9 +202,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         chosen = members.where("not tested and label <> main").withColumn("turn", F.row_number().over(turn))
         chosen = common.cut(chosen.where((F.col("size") <= SMALL) | (F.col("turn") <= leaders)).drop("turn"))
         found = common.cut(in_units(chosen, members).distinct())
-        if not found.isEmpty():
-            links = common.cut(links.union(found))
-            labels = common.components(links)
+        # new links join components; only these are merged further
+        ends = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        merges = ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        moved = common.components(merges).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = common.cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         members = members.where(F.col("size") > SMALL).join(chosen.select("bucket", "node", F.lit(True).alias("now")), ["bucket", "node"], "left").select("bucket", "node", "n", "size", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
         leaders *= 2
     of_node = nodes.select("node", "least_doc").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least_doc")

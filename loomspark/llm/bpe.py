@@ -14,7 +14,10 @@ file are found in the text as such; rows are independent, so order, ties, repeat
 from __future__ import annotations
 
 import hashlib
+import gc
 import json
+import re
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -25,8 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Entries of each of the two generations of the table of pre-tokens, and the longest pre-token that enters it.
-REMEMBERED, LONGEST = 150_000, 64
+#: The same with the faster standard library, for texts without the characters that its classes take otherwise:
+#: numbers that are not decimal digits, and four control characters.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+OTHERWISE = re.compile("[\x1c-\x1f" + "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+#: Entries of the two tables of pre-tokens, and the longest pre-token that enters them.
+KEPT, WAITING, LONGEST = 100_000, 80_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -37,22 +44,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def split(text: str) -> list[str]:
+    return (PATTERN if OTHERWISE.search(text) else PLAIN).findall(text)
+
+
 class Remembered(dict):
-    """pre-token -> (ids, ids as text). Two generations: what is used again moves to the younger one."""
+    """pre-token -> (ids, ids as text). What is seen once waits in ``young``; what is seen there again is kept."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.young = encode, {}
 
     def __missing__(self, word: str):
-        if (found := self.older.get(word)) is None:
-            ids = self.encode(word.encode("utf-8", "surrogatepass"))
-            found = ids, ",".join(map(str, ids))
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
+        if (found := self.young.get(word)) is not None:
+            if len(self) >= KEPT:
                 self.clear()
             self[word] = found
+            return found
+        ids = self.encode(word.encode("utf-8", "surrogatepass"))
+        found = ids, ",".join(map(str, ids))
+        if len(word) <= LONGEST:
+            if len(self.young) >= WAITING:
+                self.young.clear()
+            self.young[word] = found
         return found
 
 
@@ -61,12 +75,12 @@ class Vocabulary:
         spec, letters = json.loads(text), byte_letters()
         vocab = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}
-        self.byte_ids = {b: vocab[c] for c, b in letters.items()}
-        self.ranks: dict[int, int] = {}
+        self.byte_ids = [i for _, i in sorted((b, vocab[c]) for c, b in letters.items())]
+        self.ranks: dict[tuple[int, int], int] = {}
         self.merged: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank)
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
             self.merged.append(vocab[a + b])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of |= {i: x.encode() for x, i in self.special.items()}
@@ -74,40 +88,43 @@ class Vocabulary:
         self.words = Remembered(self.encode_word)
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        ids = [self.byte_ids[b] for b in word]
-        n, ranks = len(ids), self.ranks
-        queue = [r << 32 | i for i in range(n - 1) if (r := ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
+        ids = list(map(self.byte_ids.__getitem__, word))
+        n, rank_of, merged = len(ids), self.ranks.get, self.merged
+        width = n.bit_length()
+        low = (1 << width) - 1
+        queue = [r << width | i for i, r in enumerate(map(rank_of, zip(ids, ids[1:], strict=False))) if r is not None]
         if not queue:
             return tuple(ids)
         heapify(queue)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
-            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            rank, i = entry >> width, entry & low
             j = following[i]
-            if ids[i] < 0 or j >= n or ranks.get(ids[i] << 32 | ids[j]) != rank:
+            if j >= n or (left := ids[i]) < 0 or rank_of((left, ids[j])) != rank:
                 continue  # stale
-            ids[i], ids[j] = self.merged[rank], -1
+            ids[i] = new = merged[rank]
+            ids[j] = -1
             following[i] = k = following[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get(ids[i] << 32 | ids[k])) is not None:
-                    heappush(queue, r << 32 | i)
-            if (h := before[i]) >= 0 and (r := ranks.get(ids[h] << 32 | ids[i])) is not None:
-                heappush(queue, r << 32 | h)
-        return tuple(x for x in ids if x >= 0)
+                if (r := rank_of((new, ids[k]))) is not None:
+                    heappush(queue, r << width | i)
+            if (h := before[i]) >= 0 and (r := rank_of((ids[h], new))) is not None:
+                heappush(queue, r << width | h)
+        return tuple([x for x in ids if x >= 0])
 
     def pieces(self, text: str) -> list[tuple]:
         """(ids, ids as text) of each pre-token and special token of the text."""
         words, special = self.words, self.special
         if self.split_special is None or not any(s in text for s in special):
-            return [words[w] for w in PATTERN.findall(text)]
+            return [words[w] for w in split(text)]
         out = []
         for part in self.split_special(text):
             if part in special:
                 out.append(((special[part],), str(special[part])))
             else:
-                out += [words[w] for w in PATTERN.findall(part)]
+                out += [words[w] for w in split(part)]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -117,18 +134,34 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Vocabulary] = {}
+_LOADED: dict[int, Vocabulary] = {}
 
 
 def _vocabulary(shared) -> Vocabulary:
-    """The worker's own, built once for each vocabulary."""
-    text = shared.value
-    key = hashlib.sha256(text.encode()).hexdigest()
+    """The worker's own, built once for each broadcast; the last one only, as it takes some 50 MB."""
+    key = hash(shared.value)
     if key not in _LOADED:
-        _LOADED[key] = Vocabulary(text)
+        _LOADED.clear()
+        _LOADED[key] = Vocabulary(shared.value)
     return _LOADED[key]
 
 
+def _forget() -> None:
+    for vocabulary in _LOADED.values():
+        vocabulary.words = Remembered(vocabulary.encode_word)
+
+
+@contextmanager
+def _mapping(shared):
+    """A vocabulary for one batch. The collector of cycles rests meanwhile: nothing here makes cycles, and it would walk
+    through the tables again and again."""
+    gc.disable()
+    try:
+        yield _vocabulary(shared)
+    finally:
+        gc.enable()
+
+
 def shared_vocabulary(spark: SparkSession, path: str):
     with open(path, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
@@ -145,10 +178,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     shared = shared_vocabulary(docs.sparkSession, path)
 
     def run(texts):
-        vocabulary = _vocabulary(shared)
-        return [pa.array([vocabulary.encode(x.as_py() or "") for x in texts], pa.list_(pa.int32()))]
+        with _mapping(shared) as vocabulary:
+            return [pa.array([vocabulary.encode(x.as_py() or "") for x in texts], pa.list_(pa.int32()))]
 
-    return common.append(docs, [text], run, f"`{ids}` array<int>")
+    return common.append(docs, [text], run, f"`{ids}` array<int>", _forget)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -156,8 +189,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "d
     shared = shared_vocabulary(encoded.sparkSession, path)
 
     def run(lists):
-        vocabulary = _vocabulary(shared)
-        return [pa.array([vocabulary.decode(x.as_py() or ()) for x in lists], pa.string())]
+        with _mapping(shared) as vocabulary:
+            return [pa.array([vocabulary.decode(x.as_py() or ()) for x in lists], pa.string())]
 
     return common.append(encoded, [ids], run, f"`{text}` string")
 
@@ -167,16 +200,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     shared = shared_vocabulary(docs.sparkSession, path)
 
     def run(texts):
-        vocabulary, numbers, of_ids, of_text = _vocabulary(shared), [], [], []
-        for x in texts:
-            pieces = vocabulary.pieces(x.as_py() or "")
-            ids = list(chain.from_iterable([p[0] for p in pieces]))
-            numbers.append(len(ids))
-            of_ids.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
-            of_text.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
+        numbers, of_ids, of_text = [], [], []
+        with _mapping(shared) as vocabulary:
+            for x in texts:
+                pieces = vocabulary.pieces(x.as_py() or "")
+                ids = list(chain.from_iterable([p[0] for p in pieces]))
+                numbers.append(len(ids))
+                of_ids.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
+                of_text.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
         return [numbers, of_ids, of_text]
 
-    return common.append(docs, ["text"], run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.append(docs, ["text"], run, "n_tokens long, ids_sha256 string, decoded_sha256 string", _forget)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,9 +62,10 @@ def drop(df: DataFrame) -> None:
         fs.delete(where, True)
 
 
-def append(df: DataFrame, inputs: list[str], function: Callable, added: str) -> DataFrame:
+def append(df: DataFrame, inputs: list[str], function: Callable, added: str, done: Callable | None = None) -> DataFrame:
     """``df`` with the columns of ``added`` (a DDL string) after its own; ``function`` maps the Arrow columns
-    ``inputs`` of a batch to one Arrow array for each. A column of ``df`` with one of the new names gives way."""
+    ``inputs`` of a batch to one Arrow array for each. A column of ``df`` with one of the new names gives way.
+    ``done`` runs at the end of each task, as the worker that a task leaves behind should hold little memory."""
     new = _parse_datatype_string(added)
     old = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new.names])
     kinds = to_arrow_schema(new)
@@ -75,6 +76,8 @@ def append(df: DataFrame, inputs: list[str], function: Callable, added: str) ->
                 made = function(*[part.column(n) for n in inputs])
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *kinds.names])
+        if done is not None:
+            done()
 
     return old.mapInArrow(batches, StructType([*old.schema.fields, *new.fields]))
 

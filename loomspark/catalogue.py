@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import relational_queries
+from .plans import graph_queries, mapping_queries, relational_queries, temporal_queries, training_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (relational_queries,):
+for _module in (relational_queries, temporal_queries, graph_queries, mapping_queries, training_queries):
     QUERIES |= _module.area.queries
     ORACLE_SQL |= _module.area.sql

@@ -312,7 +312,7 @@ def spanning_tree(nodes: DataFrame, edges: DataFrame, kind: str = "bfs", weight:
     own = chosen.join(labels.select(F.col("node").alias("src"), "label"), "src")
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
+        near: dict = {n: set() for n in [*rows["src"], *rows["dst"]]}
         if kind == "min_weight":
             root = {n: n for n in [*rows["src"], *rows["dst"]]}
 
@@ -326,12 +326,12 @@ def spanning_tree(nodes: DataFrame, edges: DataFrame, kind: str = "bfs", weight:
                 a, b = find(r.src), find(r.dst)
                 if a != b:
                     root[b] = a
-                    near.setdefault(r.src, set()).add(r.dst)
-                    near.setdefault(r.dst, set()).add(r.src)
+                    near[r.src].add(r.dst)
+                    near[r.dst].add(r.src)
         else:
             for a, b in zip(rows["src"], rows["dst"], strict=True):
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
+                near[a].add(b)
+                near[b].add(a)
         out, seen = [], set()
         for start in sorted(near):
             if start in seen:

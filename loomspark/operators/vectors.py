@@ -23,9 +23,9 @@ def score(metric: str, a: Column, b: Column) -> Column:
     if metric == "dot":
         return _sum(a, b, lambda x, y: x * y)
     if metric == "l2":
-        return -_sum(a, b, lambda x, y: (x - y) * (x - y))
+        return F.lit(0.0) - _sum(a, b, lambda x, y: (x - y) * (x - y))
     if metric == "l1":
-        return -_sum(a, b, lambda x, y: F.abs(x - y))
+        return F.lit(0.0) - _sum(a, b, lambda x, y: F.abs(x - y))
     if metric == "cosine":
         length = F.sqrt(_sum(a, a, lambda x, y: x * y)) * F.sqrt(_sum(b, b, lambda x, y: x * y))
         return F.when(length == 0, F.raise_error(F.lit("E_EXPRESSION: zero vector")).cast("double")).otherwise(_sum(a, b, lambda x, y: x * y) / length)

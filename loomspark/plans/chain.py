@@ -41,7 +41,7 @@ def explain(catalog: Catalog, text: str | Query) -> str:
     """The chain as JSON, and Spark's plan of it."""
     tree = parse(text) if isinstance(text, str) else text
     df = query(catalog, tree)
-    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.FormattedMode)
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     return json.dumps({"root": render(tree.root), "methods": [render(m) for m in tree.methods], "fingerprint": fingerprint(tree)}) + "\n" + plan
 
 

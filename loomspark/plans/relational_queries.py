@@ -63,8 +63,8 @@ def _keys(spark, folder):
 
 area.chain("cte_with", "table(customer).with(n: table(nation)).join(table(n), on: c_nationkey == n.n_nationkey).select(c_custkey, n.n_name)", "WITH n AS (SELECT * FROM nation) SELECT c_custkey, n_name FROM customer JOIN n ON c_nationkey = n_nationkey")
 area.chain("cte_recursive_fixpoint", "table(r).withRecursive(name: r, seed: table(seed_keys), step: table(order_keys), key: k, maxIterations: 5).select(k)",
-           "SELECT k FROM (SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer WHERE c_nationkey < 5) UNION ALL SELECT DISTINCT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey < 5)",
-           catalog=lambda s, d: _keys(s, d).add("seed_keys", read(s, d, "customer").where("c_nationkey < 5").select(F.col("c_nationkey").cast("long").alias("k"))))
+           "SELECT k FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_regionkey = 0) UNION ALL SELECT DISTINCT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)",
+           catalog=lambda s, d: _keys(s, d).add("seed_keys", read(s, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("k"))))
 
 # ---- joins
 OC = "table(orders) as o"
@@ -86,14 +86,14 @@ area.chain("lookup_many", "table(nation) as n.lookup(table(supplier) as s, on: n
 area.frame("lookup_first_of_many", lambda s, d: relational.guarded_join(read(s, d, "customer").select("c_custkey"), read(s, d, "orders").select("o_custkey", "o_orderkey"), F.expr("c_custkey = o_custkey"), "left", "one", duplicate="first", order=["o_orderkey"]).select("c_custkey", "o_orderkey"), "SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS o_orderkey FROM customer")
 area.chain("exists_table", "table(part) as p.where(exists(table(lineitem) as l, on: p.p_partkey == l.l_partkey && l.l_quantity > 49)).select(p_partkey)", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 area.chain("not_exists_table", "table(part) as p.where(!exists(table(lineitem) as l, on: p.p_partkey == l.l_partkey && l.l_quantity > 49)).select(p_partkey)", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
-area.frame("overlay_hidden", lambda s, d: _overlay(s, d), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 = 0)")
+area.frame("overlay_hidden", lambda s, d: _overlay(s, d), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 
 
 def _overlay(spark, folder):
     from ..sources.files import overlay
 
     customers = read(spark, folder, "customer")
-    return overlay(customers, customers.where("c_custkey % 20 = 0").select("c_custkey"), "c_custkey").select("c_custkey")
+    return overlay(customers, customers.where("c_acctbal < 0").select("c_custkey"), "c_custkey").select("c_custkey")
 
 
 # ---- aggregates

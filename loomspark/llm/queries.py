@@ -19,5 +19,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_near_vectors": near_vectors.SQL,
     "op2_licence_scan": licences.SQL,
+    "op3_exact_topk": topk.SQL,
+    "op4_minmax_near_dedup": minmax.SQL,
     "op9_url_filter": url_filter.SQL,
 }

@@ -165,3 +165,12 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(common.table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs, for small tables.
+SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM p)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 10
+"""

@@ -86,8 +86,8 @@ def _aliases(spark, folder):
     return mapping.resolve_aliases(read(spark, folder, "customer"), "c_mktsegment", known, ["trim_lower"]).select("c_custkey", "canonical", "resolution")
 
 
-area.frame("map_candidates_jaccard", lambda s, d: mapping.candidates(read(s, d, "part").groupBy("p_type").agg(F.min("p_partkey").alias("p_partkey")), "p_partkey", "p_type", ["ascii_lower"], None, 20).groupBy("block", "score").agg(F.count("*").alias("n")),
-           """WITH t AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS id, lower(p_type) AS v FROM part GROUP BY p_type),
+area.frame("map_candidates_jaccard", lambda s, d: mapping.candidates(read(s, d, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("label")).agg(F.min("p_partkey").alias("p_partkey")), "p_partkey", "label", ["ascii_lower"], None, 20).groupBy("block", "score").agg(F.count("*").alias("n")),
+           """WITH t AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS id, lower(p_brand || ' ' || p_type) AS v FROM part GROUP BY p_brand, p_type),
 w AS (SELECT id, '' AS block, list_distinct(list_filter(string_split_regex(v, '\\s+'), lambda x: x <> '')) AS k FROM t),
 p AS (SELECT a.block, len(list_intersect(a.k, b.k)) AS c, len(a.k) AS x, len(b.k) AS y FROM w a JOIN w b ON a.block = b.block AND a.id < b.id)
 SELECT block, CAST(floor(c * 100.0 / (x + y - c)) AS BIGINT) AS score, count(*) AS n FROM p WHERE floor(c * 100.0 / (x + y - c)) >= 20 GROUP BY 1, 2""")

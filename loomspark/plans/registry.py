@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog
+from ..sources.catalog import TABLES, Catalog
 from .chain import query
 
 
@@ -45,7 +46,7 @@ class Area:
         """A query on the SQL surface, over the folder's tables as views."""
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            Catalog.of_folder(spark, folder).register_views()
+            Catalog.of_folder(spark, folder).register_views([t for t in TABLES if re.search(rf"\b{t}\b", spark_sql)])
             return tidy(spark.sql(spark_sql))
 
         self.queries[name] = run

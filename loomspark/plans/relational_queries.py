@@ -132,3 +132,24 @@ area.statement("sql_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nation
 area.statement("sql_between_like", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_type LIKE 'S%' AND p_brand NOT IN ('Brand#11', 'Brand#12')")
 area.statement("sql_ntile", "SELECT c_custkey, CAST(ntile(4) OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q FROM customer")
 area.statement("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t")
+
+# ---- the published mix of analytical, operational and join queries
+TOTAL = "round(CAST(sum(CAST(o_totalprice AS DECIMAL(38,10))) AS DOUBLE), 4) AS total"
+for _name, _sql in {
+    "olap_narrow_projection": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000",
+    "olap_group_status": f"SELECT o_orderstatus, count(*) AS n, {TOTAL} FROM orders GROUP BY o_orderstatus",
+    "olap_group_customer": f"SELECT o_custkey, count(*) AS n, {TOTAL} FROM orders GROUP BY o_custkey",
+    "olap_top_customers": "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10",
+    "olap_count_distinct_customers": "SELECT count(DISTINCT o_custkey) AS customers FROM orders",
+    "operational_point_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 42",
+    "operational_small_in_lookup": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 7, 77, 777)",
+    "operational_latest_customer": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 1",
+    "operational_zero_match": "SELECT o_orderkey FROM orders WHERE o_orderkey = -1",
+    "join_fact_customer_region": f"SELECT c_nationkey * CAST(1 AS BIGINT) AS nation, count(*) AS n, {TOTAL} FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey",
+    "join_star_region_category": "SELECT r_name, p_brand, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey GROUP BY r_name, p_brand",
+    "join_selective_dimensions": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size = 15 AND s_nationkey = 3",
+    "join_left_stocked_products": "SELECT p_partkey, l_orderkey FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 45",
+    "join_semi_customer_tier": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 9000)",
+    "join_anti_unstocked_products": "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)",
+}.items():
+    area.statement(_name, _sql)

@@ -56,12 +56,12 @@ class Catalog:
             raise QueryError("E_UNKNOWN_PROJECTION", name)
         return self.projections[name]()
 
-    def register_views(self) -> None:
-        """Every table and projection as a temporary view of the session."""
-        for name in self.tables:
-            self.table(name).createOrReplaceTempView(name)
-        for name in self.projections:
-            self.projection(name).createOrReplaceTempView(name)
+    def register_views(self, names: list[str] | None = None) -> None:
+        """Tables and projections (all, or those named) as temporary views of the session."""
+        for kind, find in ((self.tables, self.table), (self.projections, self.projection)):
+            for name in kind:
+                if names is None or name in names:
+                    find(name).createOrReplaceTempView(name)
 
     def describe(self) -> list[dict]:
         """The queryable roots with their columns, for discovery."""

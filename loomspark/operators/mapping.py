@@ -245,3 +245,48 @@ def semantic_delta(before: DataFrame, after: DataFrame, csn: int, ts_us: int) ->
     kind = F.when(F.col("new").isNull(), "tombstone").when(F.col("old").isNull(), "baseline").when(entries("old") != entries("new"), "snapshot")
     told = both.withColumn("record_kind", kind).where("record_kind is not null")
     return told.select(*key, F.concat(F.lit(f"d{csn}-"), "goid").alias("record_id"), F.lit(ts_us).cast("long").alias("ts_us"), F.lit(csn).cast("long").alias("csn"), "record_kind", F.coalesce("new", F.create_map().cast("map<string,string>")).alias("props"))
+
+
+def worklist(found: DataFrame, rule: str, decided: DataFrame | None = None) -> DataFrame:
+    """Candidates that wait for a decision: (candidate_id, left, right, score, status)."""
+    items = found.withColumn("candidate_id", candidate_id(rule)).select("candidate_id", "left", "right", "score", F.lit("open").alias("status"))
+    return items if decided is None else items.join(decided.select("candidate_id"), "candidate_id", "left_anti")
+
+
+def decisions(items: DataFrame, verdicts: DataFrame, source: str) -> DataFrame:
+    """Verdicts (candidate_id, decision) on items of a worklist as reviewed pairs for ``merge``."""
+    return items.join(verdicts, "candidate_id").select(F.lit(source).alias("a_source"), F.col("left").alias("a_row"), F.lit(source).alias("b_source"), F.col("right").alias("b_row"), "decision")
+
+
+def content_digest(df: DataFrame) -> str:
+    """A digest of a table's rows that does not depend on their order: the sum of 60-bit parts of row digests."""
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    part = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
+    row = df.agg(F.count("*").alias("n"), F.sum(part).alias("s")).first()
+    return f"{row['n']}:{row['s'] or 0}"
+
+
+def stale(recorded: dict[str, str], now: dict[str, DataFrame]) -> list[str]:
+    """The names whose tables no longer have the digest that was recorded when a mapping was built."""
+    return sorted(name for name, df in now.items() if recorded.get(name) != content_digest(df))
+
+
+def kinds_of(operation: Column) -> Column:
+    """The record kind of a source operation; unknown ones raise."""
+    from .temporal import OPERATION_KINDS
+
+    out = None
+    for name, kind in OPERATION_KINDS.items():
+        out = F.when(operation == name, kind) if out is None else out.when(operation == name, kind)
+    return out.otherwise(F.raise_error(F.concat(F.lit("E_UNKNOWN_BINDING: "), operation)).cast("string"))
+
+
+def records_of(rows: DataFrame, object_type: str, key: Column, operation: Column, csn: Column, ts_us: Column, properties: list[str]) -> DataFrame:
+    """Log records of source rows: a tombstone carries no properties."""
+    kind = kinds_of(operation)
+    entries = F.create_map(*[x for p in properties for x in (F.lit(p), F.col(p).cast("string"))])
+    empty = F.create_map().cast("map<string,string>")
+    return rows.select(
+        F.lit(object_type).alias("object_type"), F.lit(0).cast("long").alias("branch_key"), key.cast("string").alias("goid"), F.sha2(encoded([key, csn]), 256).alias("record_id"), ts_us.cast("long").alias("ts_us"), csn.cast("long").alias("csn"),
+        kind.alias("record_kind"), F.when(kind == "tombstone", empty).otherwise(entries).alias("props"),
+    )

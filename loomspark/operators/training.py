@@ -131,3 +131,33 @@ def sample_at(described: DataFrame, index: int) -> DataFrame:
 
 def withheld(df: DataFrame, column: str, allowed: Column, marker: str = "<withheld>") -> DataFrame:
     return df.withColumn(column, F.when(allowed, F.col(column)).otherwise(F.lit(marker)))
+
+
+def multimodal(elements: DataFrame) -> DataFrame:
+    """(sequence_id, n_elements, kinds, shape) of elements (sequence_id, place, kind, asset)."""
+    listed = F.sort_array(F.collect_list(F.struct("place", "kind", "asset")))
+    out = elements.groupBy("sequence_id").agg(listed.alias("e"), F.count("*").alias("n_elements"))
+    return out.select("sequence_id", "n_elements", F.array_join(F.transform("e", lambda x: x["kind"]), ",").alias("kinds"), F.transform("e", lambda x: x["asset"]).alias("assets"))
+
+
+def iterate(described: DataFrame, split: str | None = None):
+    """Samples as dicts, in the order of their ids, one partition in memory at a time."""
+    rows = described if split is None else described.where(F.col("split") == split)
+    for row in rows.orderBy("sample_id").toLocalIterator():
+        yield row.asDict(recursive=True)
+
+
+def mapped(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Import by a mapping of fields: target name -> column; missing columns become null."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(target) for target, c in names.items()])
+
+
+def export(rows: DataFrame, path: str, kind: str, split: str | None = None) -> None:
+    """json, jsonl, hf-jsonl, parquet, or a webdataset of tar shards (as binary rows of a Parquet table)."""
+    from ..sources.files import tar_shards, write
+
+    rows = rows if split is None else rows.where(F.col("split") == split)
+    if kind == "webdataset":
+        write(tar_shards(rows, rows.columns[0], rows.columns[-1], 8), path, "parquet")
+    else:
+        write(rows, path, {"hf-jsonl": "jsonl", "arrow": "parquet"}.get(kind, kind))

@@ -82,6 +82,22 @@ def append(df: DataFrame, inputs: list[str], function: Callable, added: str, don
     return old.mapInArrow(batches, StructType([*old.schema.fields, *new.fields]))
 
 
+def packed(docs: DataFrame, *needed) -> DataFrame:
+    """The whole rows of ``docs`` as one struct ``_row``, beside the columns that an operator needs: whatever names the
+    operator adds, no other column of the input is touched."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *needed)
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of ``docs`` again; ``text`` names the column that replaces the text, and n_chars follows it."""
+    made = {}
+    if text:
+        made["text"] = F.col(text)
+        if "n_chars" in docs.columns:
+            made["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of a bounded number of bytes, whole rows each."""
     n = max(1, -(-batch.nbytes // ARROW_BATCH_BYTES))

@@ -213,7 +213,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(texts):
         return [pa.array(model.scores([x.as_py() for x in texts]) >= 0.5, pa.bool_())]
 
-    return common.append(docs, ["text"], run, "_good boolean").where("_good").select(*docs.columns)
+    return common.unpacked(common.append(common.packed(docs, "text"), ["text"], run, "_good boolean").where("_good"), docs)
 
 
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,10 +222,10 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = near_duplicates(docs, percent).where("kept")
     own = F.when(F.col("near_group").isNull(), F.col("text_key"))
     marks = found.groupBy("doc_id", "near_group", own.alias("own")).agg(F.min("text_key").alias("text_key")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    keyed = common.packed(docs, "doc_id", F.xxhash64("text").alias("_text_key"))
     rest = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left_semi")
     turn = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(1))
-    return rest.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").select(*docs.columns)
+    return common.unpacked(rest.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1"), docs)
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

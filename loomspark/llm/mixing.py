@@ -164,7 +164,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     the taken runs of words are kept with the white space inside them, joined by a line break."""
     import re
 
-    keyed, plans = placed(docs)
+    keyed, plans = placed(common.packed(docs, "doc_id", "text", "source"))
     word = re.compile(WORD)
     slim = starts(keyed)
 
@@ -191,10 +191,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
         return [pa.array(out, pa.list_(pa.string()))]
 
     found = common.append(slim, ["text", "_source", "start", "size"], run, "_versions array<string>")
-    texts = found.withColumn("text", F.explode("_versions"))
-    if "n_chars" in docs.columns:
-        texts = texts.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return texts.select(*docs.columns)
+    return common.unpacked(found.withColumn("_version", F.explode("_versions")), docs, "_version")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ import re
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -114,10 +113,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             out.append(text)
         return [out]
 
-    clean = common.append(docs, ["text"], run, "_clean string").withColumn("text", F.col("_clean"))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return common.unpacked(common.append(common.packed(docs, "text"), ["text"], run, "_clean string"), docs, "_clean")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

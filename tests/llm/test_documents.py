@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from loomspark.llm import bpe, licences, line_crf, minmax, mixing, secret_scan, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, bucket int"
@@ -148,6 +149,8 @@ def test_redact(docs):
         assert ((r["doc_id"], r["text"]) in done) == (not secret_scan.base_spans(r["text"] or ""))
     assert any(t and "[SECRET]" in t for _, t in done)
     assert secret_scan.redact(docs).columns == docs.columns
+    named = docs.withColumn("_clean", F.lit("own")).withColumn("_row", F.lit(1))
+    assert {(r["_clean"], r["_row"]) for r in secret_scan.redact(named).collect()} == {("own", 1)}
 
 
 def test_licences(docs, none):
@@ -238,7 +241,7 @@ def test_mixing(docs, none):
 def test_mixed_texts_hold_what_is_taken(docs):
     taken = sum(r["taken"] for r in mixing.mix(docs).collect())
     out = mixing.mixed_texts(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and {(r["size"], r["score"], r["bucket"]) for r in out.collect()} == {("x", "y", 1)}
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in out.collect()) == taken
 
 
@@ -277,6 +280,8 @@ def test_quality(spark, docs, none):
     assert sum(scored[i] == labels[i][1] for i in held) >= 0.95 * len(held)
     marked = line_crf.score(docs, model).collect()
     assert len(marked) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in marked)
+    kept = line_crf.keep_good(docs.withColumn("_good", F.lit("own")), known.limit(0))
+    assert kept.columns == [*docs.columns, "_good"] and kept.where("_good = 'own'").count() == docs.count()
     nothing = line_crf.train(some, known.limit(0))
     assert {round(r["score"], 6) for r in line_crf.score(docs, nothing).collect()} == {0.5}
     assert line_crf.score(none, model).count() == 0

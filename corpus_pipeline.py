@@ -34,10 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    path = bpe.default_path()
-    encoded = bpe.encode(docs, path)
-    checked = bpe.decode(encoded, path)
-    return checked.selectExpr("doc_id", "lang", "source", "cast(size(token_ids) as long) as n_tokens", "token_ids", "decoded = coalesce(text, '') as round_trip")
+    done = bpe.round_trips(docs.select("doc_id", "lang", "source", "text"), bpe.default_path())
+    return done.select("doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip")
 
 
 STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), ("secret scans", secrets), ("source mixing", mix), ("bpe encoding", tokens)]

@@ -19,7 +19,7 @@ import json
 import re
 from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -195,6 +195,25 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "d
     return common.append(encoded, [ids], run, f"`{text}` string")
 
 
+def round_trips(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with n_tokens, token_ids, and whether these decode to the text, in one pass over it."""
+    shared = shared_vocabulary(docs.sparkSession, path)
+
+    def run(texts):
+        lists, same = [], []
+        with _mapping(shared) as vocabulary:
+            for x in texts:
+                text = x.as_py() or ""
+                ids = vocabulary.encode(text)
+                same.append(vocabulary.decode(ids) == text)
+                lists.append(pa.array(ids, pa.int32()))
+        sizes = [len(x) for x in lists]
+        offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+        return [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.concat_arrays(lists) if lists else pa.array([], pa.int32())), same]
+
+    return common.append(docs, ["text"], run, "n_tokens long, token_ids array<int>, round_trip boolean", _forget)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with n_tokens and the digests of the ids and of the text that is decoded from them."""
     shared = shared_vocabulary(docs.sparkSession, path)

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ RELATIONAL = ("where", "select", "groupBy", "orderBy", "take", "skip", "join", "
 TEMPORAL = ("asOf", "history", "changes", "branch", "includeTombstones")
 GRAPH = ("traverse", "reachable", "shortestPath", "allPaths", "kShortestPaths", "connectedComponents", "degree", "pageRank", "hits", "centrality", "triangleCount", "clusteringCoefficient", "community", "spanningTree", "in", "out", "either")
 AI = ("similar", "hybrid", "rerank", "embedding")
+#: The profile of each root; roots of different ones are joined over a declared bridge only.
+PROFILES = {"object": "object", "association": "object", "evidence": "object", "node": "graph", "edge": "graph", "path": "graph"}
 #: Fixed value: rows that a query may return without an explicit take, where the caller asks for that guard.
 MOST_ROWS = 10_000
 
@@ -202,6 +203,7 @@ class Planner:
             if m.name not in (*RELATIONAL, *TEMPORAL, *GRAPH, *AI):
                 raise QueryError("E_UNSUPPORTED_PROFILE_METHOD", m.name)
         self.check_order(methods)
+        self.root = tree.root
         for m in methods:
             if m.name == "with":
                 for arg in m.args:
@@ -233,6 +235,7 @@ class Planner:
         for m in methods:
             if m.name == "where":
                 scope = self.where(scope, m.plain()[0])
+        scope, methods = self.counted(scope, methods)
         return self.finish(scope, methods, row_budget)
 
     def check_order(self, methods: list[Call]) -> None:
@@ -255,6 +258,9 @@ class Planner:
             raise QueryError("E_PARSE", f"{m.name} needs on")
         right = self.source(root, [])
         name = word(root.plain()[0])
+        own, other = PROFILES.get(self.root.name, "table"), PROFILES.get(root.name, "table")
+        if own != other and (word(self.root.plain()[0]), name) not in self.catalog.bridges:
+            raise QueryError("E_UNKNOWN_BRIDGE", f"{own} and {other} meet without a bridge")
         alias = root.alias or name
         added = {c: f"{alias}.{c}" for c in right.columns}
         taken = set(scope.df.columns)
@@ -328,6 +334,38 @@ class Planner:
 
     # ---- select, groups, order
 
+    def counted(self, scope: Scope, methods: list[Call]) -> tuple[Scope, list[Call]]:
+        """count, exists and distinct_count of a row's associations or evidence: a column joined by goid, which groups
+        add up."""
+        select = next((m for m in methods if m.name == "select"), None)
+        if select is None:
+            return scope, methods
+        grouped, args = any(m.name == "groupBy" for m in methods), []
+        for i, a in enumerate(select.args):
+            node = a.value
+            inner = node.plain()[0] if isinstance(node, Call) and node.name in ("count", "exists", "distinct_count") and node.plain() else None
+            if not (isinstance(inner, Call) and inner.name in ("in", "out", "either", "association", "evidence")):
+                args.append(a)
+                continue
+            if inner.name == "evidence":
+                rows = self.evidence(inner).select("goid", F.col("digest").alias("_other"))
+            else:
+                first = inner.plain()[0]
+                edges = self.associations(word(first if isinstance(first, Path) else first.plain()[0]), [])
+                out = edges.select(F.col("source_goid").alias("goid"), F.col("target_goid").alias("_other"))
+                into = edges.select(F.col("target_goid").alias("goid"), F.col("source_goid").alias("_other"))
+                rows = {"in": into, "out": out}.get(inner.name, out.unionByName(into))
+            number = F.count_distinct("_other") if node.name == "distinct_count" else F.count(F.lit(1))
+            name = f"_associated{i}"
+            df = scope.df.join(rows.groupBy("goid").agg(number.alias(name)), "goid", "left")
+            df = df.withColumn(name, F.coalesce(name, F.lit(0)))
+            scope = replace_frame(scope, df)
+            scope.bare = {**scope.bare, name: name}
+            column = Path((name,))
+            total = Call("sum", (Arg(column),)) if grouped else column
+            args.append(Arg(Compare(">", total, Literal(0)) if node.name == "exists" else total, a.label or node.name))
+        return scope, [Call("select", tuple(args)) if m is select else m for m in methods]
+
     def item_name(self, arg: Arg) -> str:
         if arg.label:
             return arg.label

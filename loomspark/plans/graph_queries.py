@@ -102,5 +102,6 @@ area.chain("root_edge", "edge(located_in).select(assoc_goid, source_goid, target
 area.chain("root_path", "path(node(supplier) as s.out(edge(located_in) as e).to(node(nation) as n).out(edge(located_in) as f).to(node(region) as r)).select(s, n, r)", "SELECT 's' || s_suppkey AS s, 'n' || n_nationkey AS n, 'r' || n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey", catalog)
 area.chain("exists_association", "object(nation).where(exists(in(located_in))).select(goid)", "SELECT 'n' || n_nationkey AS goid FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)", catalog)
 area.chain("not_exists_association", "object(nation).where(!exists(in(located_in))).select(goid)", "SELECT 'n' || n_nationkey AS goid FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)", catalog)
+area.chain("agg_association_count", "object(nation).select(goid, n: count(in(located_in)), some: exists(in(located_in)), regions: distinct_count(out(located_in)))", "SELECT 'n' || n_nationkey AS goid, count(s_suppkey) AS n, count(s_suppkey) > 0 AS some, CAST(1 AS BIGINT) AS regions FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey", catalog)
 area.chain("chain_traverse", "node(supplier).traverse(out(edge(located_in) as e), min: 2, max: 2, mode: trail).select(start, node)", "SELECT 's' || s_suppkey AS start, 'r' || n_regionkey AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey", catalog)
 area.chain("chain_reachable", "node(supplier).reachable(out(edge(located_in)), maxDepth: 3).select(id, reachable_count)", "SELECT 's' || s_suppkey AS id, CAST(2 AS BIGINT) AS reachable_count FROM supplier", catalog)

@@ -33,7 +33,9 @@ class Catalog:
     projections: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
     hidden: DataFrame | None = None
     branches: dict[str, int] = field(default_factory=dict)
-    bounds: dict[str, str] = field(default_factory=dict)
+    bounds: dict = field(default_factory=dict)
+    #: Pairs of names, such as (object type, table), whose profiles may be joined.
+    bridges: set[tuple[str, str]] = field(default_factory=set)
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str) -> Catalog:

@@ -161,6 +161,19 @@ def test_recursive_append(catalog):
     assert "E_METHOD_CONFLICT" in code(catalog, text.replace(", maxIterations: 3", ""))
 
 
+def test_bridges(spark):
+    from loomspark.operators.temporal import KEY
+
+    out = Catalog(spark)
+    out.records = spark.createDataFrame([("t", 0, "a", "1", 1, 1, "baseline", {"x": "1"})], ", ".join(f"{k} {'long' if k == 'branch_key' else 'string'}" for k in KEY) + ", record_id string, ts_us long, csn long, record_kind string, props map<string,string>")
+    out.bounds = {"properties": {"x": "int"}}
+    out.add("facts", spark.createDataFrame([("a", 7)], "k string, v int"))
+    text = "object(t) as o.join(table(facts) as f, on: o.goid == f.k).select(o.x, f.v)"
+    assert "E_UNKNOWN_BRIDGE" in code(out, text)
+    out.bridges.add(("t", "facts"))
+    assert rows(out, text) == [(1, 7)]
+
+
 def test_explain_and_discovery(catalog):
     assert "Physical Plan" in explain(catalog, "table(people).select(id)")
     assert {d["root"] for d in catalog.describe()} == {"table(people)", "table(teams)", "table(more)"}

@@ -55,11 +55,13 @@ def targets(sizes: list[int], weights: list[int]) -> list[float]:
 def sainte_lague(shares: list[float], seats: int, most: list[int]) -> list[int]:
     """Seats by the highest quotients share / (2 i + 1), at most ``most`` for each; ties to the first.
 
-    All seats that are certain come from the divisor at once, the last ones (as many as sources, about) from a queue."""
+    With n sources, the divisor total / (seats - n) hands out fewer seats than there are, and these are the first by
+    quotient; the last ones, 1.5 n at most, come from a queue."""
     if seats <= 0 or not any(shares):
         return [0] * len(shares)
     total = sum(shares)
-    got = [min(m, max(0, math.floor(s * seats / total) - 1)) for s, m in zip(shares, most, strict=True)]
+    sure = max(0, seats - len(shares)) / total
+    got = [min(m, math.floor(s * sure + 0.5) if sure else 0) for s, m in zip(shares, most, strict=True)]
     queue = [(-s / (2 * g + 1), i) for i, (s, g, m) in enumerate(zip(shares, got, most, strict=True)) if s and g < m]
     heapq.heapify(queue)
     left = seats - sum(got)

@@ -221,6 +221,12 @@ def test_sainte_lague_is_by_highest_quotients():
         quotients = sorted(((-s / (2 * i + 1), k) for k, s in enumerate(shares) if s for i in range(seats + 1)))[:seats]
         want = [sum(k == i for _, k in quotients) for i in range(4)]
         assert mixing.sainte_lague(shares, seats, most) == want
+    rng = random.Random(6)
+    for _ in range(30):
+        shares = [rng.choice([1, 1, 2, 900]) * rng.random() for _ in range(rng.randint(1, 60))]
+        seats = rng.randint(1, 400)
+        quotients = sorted((-s / (2 * i + 1), k) for k, s in enumerate(shares) for i in range(seats))[:seats]
+        assert mixing.sainte_lague(shares, seats, [10**6] * len(shares)) == [sum(k == i for _, k in quotients) for i in range(len(shares))]
 
 
 def test_mixing(docs, none):

@@ -31,7 +31,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: The same with the faster standard library, for texts without the characters that its classes take otherwise:
 #: numbers that are not decimal digits, and four control characters.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-OTHERWISE = re.compile("[\x1c-\x1f" + "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+OTHERWISE = frozenset("\x1c\x1d\x1e\x1f") | {c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
 #: Entries of the two tables of pre-tokens, and the longest pre-token that enters them.
 KEPT, WAITING, LONGEST = 100_000, 80_000, 64
 
@@ -45,7 +45,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def split(text: str) -> list[str]:
-    return (PATTERN if OTHERWISE.search(text) else PLAIN).findall(text)
+    return (PLAIN if OTHERWISE.isdisjoint(set(text)) else PATTERN).findall(text)
 
 
 class Remembered(dict):

@@ -48,7 +48,7 @@ def test_builder_runs(catalog):
 
 
 def test_directives_literals_and_explain():
-    tree = parse('# coveql: 0.1\nEXPLAIN developer table(t).where(a == uuid"00112233-4455-6677-8899-AABBCCDDEEFF" || b == x"0aff" || c == 1.50 || d in [-1, null, true])')
+    tree = parse('# version: 0.1\nEXPLAIN developer table(t).where(a == uuid"00112233-4455-6677-8899-AABBCCDDEEFF" || b == x"0aff" || c == 1.50 || d in [-1, null, true])')
     assert tree.explain == "developer" and tree.directives
     kinds = [p.right for p in tree.methods[0].args[0].value.parts[:3]]
     assert kinds[0].value == "00112233445566778899aabbccddeeff" and kinds[1].value == b"\x0a\xff" and kinds[2].value == Decimal("1.50")

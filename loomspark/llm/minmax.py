@@ -1,9 +1,10 @@
 """MinHash near-dedup by min-max hashing.
 
 Every permutation of a document's five-word shingles gives two signature values, its minimum and its maximum, so
-``PERMUTATIONS`` hash functions make twice as many values. Bands of ``BAND_PERMUTATIONS`` permutations (minimum and
-maximum of each) are the bucket keys. A pair with Jaccard similarity s falls into a common bucket with probability
-1 - (1 - s**8)**32, which is 0.99996 at 0.85.
+``PERMUTATIONS`` hash functions make twice as many values. Bands of w permutations (minimum and maximum of each) are
+the bucket keys. A pair with Jaccard similarity s falls into a common bucket with probability
+1 - (1 - s**(2 w))**(PERMUTATIONS // w); w is the largest width for which a pair at the threshold is missed with a
+probability of at most ``MISS``: 4 for 0.85 (missed with 0.00004) and 3 for 0.8 (missed with 0.000003).
 
 Within a bucket not all pairs are expanded: members are verified against one leader, verified links are merged into
 components, and only buckets that still hold several components go on. There, the members outside the bucket's main
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-SHINGLE, PERMUTATIONS, BAND_PERMUTATIONS, SEED = 5, 128, 4, 20260
+SHINGLE, PERMUTATIONS, MISS, SEED = 5, 128, 1e-4, 20260
 SMALL, LEADERS, UNIT = 32, 8, 128
 
 
@@ -73,31 +74,45 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return np.stack([low, high], axis=1)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """(documents, bands) of 64-bit bucket keys; the band's number is part of the key."""
-    n, width = len(signatures), 2 * BAND_PERMUTATIONS
-    v = signatures.reshape(n, -1, width).astype(np.uint64)
+def band_width(percent: int) -> int:
+    """Permutations in a band for a threshold."""
+    missed = lambda w: (1 - (percent / 100) ** (2 * w)) ** (PERMUTATIONS // w)
+    return max([1, *(w for w in range(1, PERMUTATIONS + 1) if missed(w) <= MISS)])
+
+
+def band_keys(signatures: np.ndarray, width: int) -> np.ndarray:
+    """(documents, bands) of 64-bit bucket keys for bands of ``width`` permutations; the band's number is part of the key."""
+    n, bands = len(signatures), PERMUTATIONS // width
+    v = signatures[:, : bands * width].reshape(n, bands, 2 * width).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, v.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), v.shape[:2]).copy()
-    for i in range(width):
+    for i in range(2 * width):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + v[:, :, i])
     return key.view(np.int64)
 
 
-def _signed(rows):
+def _signed(width: int):
     """Arrow batches (doc_id, text, text_key) -> (doc_id, text_key, n_shingles, node, bands)."""
-    family = permutations()
+
+    def run(rows):
+        family = permutations()
+        for batch in rows:
+            for part in common.slices(batch):
+                yield _signed_part(part, family, width)
+
+    return run
+
+
+def _signed_part(part: pa.RecordBatch, family, width: int) -> pa.RecordBatch:
     kinds = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    for batch in rows:
-        for part in common.slices(batch):
-            sets = [shingle_set(x.as_py()) for x in part.column("text")]
-            sizes = [len(s) for s in sets]
-            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            bands: list = [None] * len(sets)
-            if full:
-                for i, keys in zip(full, band_keys(np.stack([signature(sets[i], family) for i in full])), strict=True):
-                    bands[i] = keys
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=kinds)
+    sets = [shingle_set(x.as_py()) for x in part.column("text")]
+    sizes = [len(s) for s in sets]
+    nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+    full = [i for i, s in enumerate(sets) if len(s)]
+    bands: list = [None] * len(sets)
+    if full:
+        for i, keys in zip(full, band_keys(np.stack([signature(sets[i], family) for i in full]), width), strict=True):
+            bands[i] = keys
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=kinds)
 
 
 def _hashed(rows):
@@ -152,7 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, near_group, text_key)`` for ``docs(doc_id, text)``; links need 100 * common >= percent * union."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    signed = common.cut(slim.mapInArrow(_signed, "doc_id long, text_key long, n_shingles long, node long, bands array<long>"))
+    signed = common.cut(slim.mapInArrow(_signed(band_width(percent)), "doc_id long, text_key long, n_shingles long, node long, bands array<long>"))
     nodes = common.cut(
         signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least_doc"))
     )
@@ -217,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "near_group", "text_key")
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row for each group of near duplicates: a row of the smallest doc_id. Blank texts have no group; equal rows of them go, others stay."""
     found = near_duplicates(docs, percent).where("kept")
     own = F.when(F.col("near_group").isNull(), F.col("text_key"))

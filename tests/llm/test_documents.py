@@ -47,13 +47,13 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     sets = [shingles(r["text"]) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     out = []
@@ -83,6 +83,7 @@ def test_minmax_chain_and_hot_bucket(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_groups(df.collect())
     assert Counter(tuple(r)[:4] for r in minmax.near_duplicates(df).collect()) == Counter(want)
+    assert Counter(tuple(r)[:4] for r in minmax.near_duplicates(df, 80).collect()) == Counter(brute_groups(df.collect(), 80))
     assert len({w[2] for w in want}) > 1
 
 
@@ -93,7 +94,7 @@ def test_keep_one(docs):
     assert len(sets) == len(set(sets))
     blank = [r["text"] for r in kept if not shingles(r["text"])]
     assert Counter(blank) == Counter([None, "", " \t\n"])
-    assert {r["doc_id"] for r in kept} == {r[0] for r in brute_groups(docs.collect()) if r[3]}
+    assert {r["doc_id"] for r in kept} == {r[0] for r in brute_groups(docs.collect(), 80) if r[3]}
 
 
 def test_bpe(docs, none):

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-A source's documents, in a seeded order, make one stream of words that is cut into blocks of equally many words (the
-last may be shorter). Seats are blocks: the highest quotients target / (2 i + 1) get them, and shard j of the mix gets
-what the first j shares of the seats add (the method never takes a seat away when there are more). A source's quota of
-q blocks of its n is q // n passes over all of them and q % n blocks that a seeded permutation of the block numbers
-picks, so no block is taken more than once a pass. Every document then counts the words of its taken blocks.
+A source's documents, in a seeded order, make one stream of words. Seats are words: the highest quotients
+target / (2 i + 1) get them, and shard j of the mix gets what the first j shares of the seats add (the method never takes
+a seat away when there are more). A source's quota of q words of its n is q // n passes over its whole stream and the
+first q % n words of it, a sample of its documents as their order is seeded. So every document is taken whole but the
+one at the end of the quota: with at most a block's words it is taken or left as a whole, whichever is nearer to the
+quota, and a longer one is cut there. No word is taken more than once a pass, and but for the targets themselves no
+source has an influence on what is taken of another.
 
 Work: one prefix sum over the words of each source, computed within buckets of the seeded order and then over the
 buckets, so that a source with a third of all rows is never in one task; the totals of the sources (one row each) are
@@ -19,7 +21,6 @@ from __future__ import annotations
 import heapq
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 from . import common
 
 SEED, SHARDS, WEIGHTS, MOST = "mix-1", 8, (1, 2, 3), 3
-#: A block is this share of the smallest source, and at most so many words.
+#: A block is this share of its source, and at most so many words.
 BLOCK_SHARE, BLOCK_MOST = 256, 1024
 BUCKET_ROWS, BROADCAST_SOURCES = 20_000, 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,25 +75,12 @@ def sainte_lague(shares: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
-def step_of(blocks: int, source: int) -> tuple[int, int]:
-    """(multiplier, offset) of the permutation b -> (multiplier b + offset) mod blocks, seeded by the source's number."""
-    if blocks <= 1:
-        return 1, 0
-    rng = np.random.default_rng([source, 7919])
-    a = int(rng.integers(1, blocks))
-    while math.gcd(a, blocks) != 1:
-        a = a % blocks + 1
-    return a, int(rng.integers(0, blocks))
-
-
 def plan(sources: list[tuple[str | None, int]]) -> list[dict]:
-    """For each (source, size): its target, blocks, quota, quotas by shard, and permutation."""
+    """For each (source, size): its target, block, quota in words and quotas by shard."""
     ordered = sorted(sources, key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [s for _, s in ordered]
     shares = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
-    block = max(1, min([BLOCK_MOST, *(s // BLOCK_SHARE for s in sizes if s)]))
-    blocks = [-(-s // block) for s in sizes]
-    seats, most = round(sum(shares) / block), [MOST * b for b in blocks]
+    seats, most = round(sum(shares)), [MOST * s for s in sizes]
     shards, before = [], [0] * len(sizes)
     for j in range(1, SHARDS + 1):
         now = sainte_lague(shares, seats * j // SHARDS, most)
@@ -100,21 +88,20 @@ def plan(sources: list[tuple[str | None, int]]) -> list[dict]:
         before = now
     out = []
     for i, (name, size) in enumerate(ordered):
-        a, b = step_of(blocks[i], i)
-        out.append({"name": name, "source_size": size, "target": shares[i], "block": block, "blocks": blocks[i], "quota": before[i], "shards": [s[i] for s in shards], "multiplier": a, "offset": b})
+        out.append({"name": name, "source_size": size, "target": shares[i], "block": max(1, min(BLOCK_MOST, size // BLOCK_SHARE)), "quota": before[i], "shards": [s[i] for s in shards]})
     return out
 
 
 def takes(start: int, size: int, p: dict) -> list[tuple[int, int, int]]:
-    """(from, to, times) of the words of a document, from its start in the source's stream, by block."""
+    """(from, to, times) of the words of a document, from its start in the source's stream."""
     if not size:
         return []
-    passes, extra = divmod(p["quota"], p["blocks"])
-    out = []
-    for b in range(start // p["block"], (start + size - 1) // p["block"] + 1):
-        times = passes + ((p["multiplier"] * b + p["offset"]) % p["blocks"] < extra)
-        out.append((max(start, b * p["block"]) - start, min(start + size, (b + 1) * p["block"]) - start, times))
-    return out
+    passes, extra = divmod(p["quota"], p["source_size"])
+    more = min(max(extra - start, 0), size)
+    if size <= p["block"]:
+        more = size if 2 * more >= size else 0
+    parts = [(0, more, passes + 1), (more, size, passes)]
+    return [x for x in parts if x[0] < x[1]]
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
@@ -162,8 +149,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
-    """The mix itself: for each pass, ``docs`` with the words that it takes; whole texts stay as they are, and of others
-    the taken runs of words are kept with the white space inside them, joined by a line break."""
+    """The mix itself: for each pass, ``docs`` with the words that it takes; whole texts stay as they are, and of the one
+    that the quota's end cuts the words before it are kept with the white space inside them."""
     import re
 
     keyed, plans = placed(common.packed(docs, "doc_id", "text", "source"))
@@ -181,14 +168,8 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
                     versions.append(text)
                     continue
                 spans = spans or [m.span() for m in word.finditer(text)]
-                runs: list[list[int]] = []
-                for a, b, n in parts:
-                    if n > turn:
-                        if runs and runs[-1][1] == a:
-                            runs[-1][1] = b
-                        else:
-                            runs.append([a, b])
-                versions.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+                a, b = next((a, b) for a, b, n in parts if n > turn)
+                versions.append(text[spans[a][0] : spans[b - 1][1]])
             out.append(versions)
         return [pa.array(out, pa.list_(pa.string()))]
 

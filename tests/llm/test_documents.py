@@ -252,6 +252,21 @@ def test_mixed_texts_hold_what_is_taken(docs):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in out.collect()) == taken
 
 
+def test_mixing_keeps_documents_whole_beside_a_small_source(spark):
+    rows = [(i, prose(i, 20), "a") for i in range(3)] + [(100 + i, prose(100 + i, 400), "b" if i < 50 else "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    known = {r[0]: r for r in rows}
+    out = mixing.mixed_texts(df).collect()
+    cut = Counter(r["source"] for r in out if r["text"] != known[r["doc_id"]][1])
+    assert all(n <= 1 for n in cut.values())
+    assert all(known[r["doc_id"]][1].startswith(r["text"]) for r in out)
+    for source, n in Counter(r["source"] for r in out for _ in r["text"].split()).items():
+        target = next(r["target"] for r in mixing.mix(df).collect() if r["source"] == source)
+        assert abs(n - target) <= 2
+    p = {"quota": 80_050, "source_size": 100_000, "block": 390}
+    assert [mixing.takes(s, 100, p) for s in (79_900, 80_000, 80_100)] == [[(0, 100, 1)], [(0, 100, 1)], [(0, 100, 0)]]
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 

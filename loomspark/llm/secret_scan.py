@@ -2,7 +2,8 @@
 
 A candidate of the novelty measure is a string of letters, digits and ``+/_=-`` that mixes letters and digits and
 follows a sensitive word closely. Its marginal cost is the compressed size of its surrounding text with it less the
-size without it, both with a zstandard dictionary of common code identifiers. A candidate that costs at least
+size without it, both with a zstandard dictionary of common code identifiers; other copies of the candidate are taken
+out of the surrounding text first, so a secret that repeats costs what a single one does. A candidate that costs at least
 ``NOVEL`` bytes for each of its own is incompressible there, and is reported with kind ``novel`` unless it overlaps
 a base span, which always stays.
 
@@ -28,6 +29,8 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential|bearer|private_?key|signature|auth)[^\n]{0,24}?\b([A-Za-z0-9+/_=-]{16,})", re.IGNORECASE | re.ASCII)
 CONTEXT, NOVEL = 160, 0.62
+#: A piece of a copy of so many characters counts as one.
+COPY = 4
 #: Identifiers and code that a candidate is expected to look like.
 DICTIONARY = (
     "import from return def class function const let var public private static final void string int bool null none true false "
@@ -40,6 +43,17 @@ DICTIONARY = (
 )
 
 
+def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """``CONTEXT`` characters at most before and after a candidate, without its other copies, whole or cut by the limit."""
+    candidate, most = text[start:end], CONTEXT + end - start
+    before = text[max(0, start - most) : start].replace(candidate, "")[-CONTEXT:]
+    after = text[end : end + most].replace(candidate, "")[:CONTEXT]
+    part = next((n for n in range(min(len(candidate) - 1, len(before)), COPY - 1, -1) if before.startswith(candidate[-n:])), 0)
+    before = before[part:]
+    part = next((n for n in range(min(len(candidate) - 1, len(after)), COPY - 1, -1) if after.endswith(candidate[:n])), 0)
+    return before, after[: len(after) - part]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds, sorted; the digits and capitals that a kind needs are looked for first."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -65,7 +79,8 @@ class Novelty:
             start, end = m.span(1)
             if m[1].isalpha() or m[1].isdigit() or any(a < end and start < b for a, _, b in base):
                 continue
-            if self.marginal(text[max(0, start - CONTEXT) : start], m[1], text[end : end + CONTEXT]) >= NOVEL:
+            before, after = surroundings(text, start, end)
+            if self.marginal(before, m[1], after) >= NOVEL:
                 found[start] = (start, 3, end)
         return list(found.values())
 

@@ -144,6 +144,17 @@ def test_secret_novelty():
     assert novelty.spans("credential for abcdefghijklmnopqrstuvwxyz0123456789 and", []) == []
 
 
+def test_secret_novelty_of_repeats():
+    """A secret costs the same when it stands again on the lines around it, whole or cut by the context's end."""
+    novelty, rng = secret_scan.Novelty(), random.Random(7)
+    for n in (20, 32, 64, 150):
+        for gap in ("\n", "\n" + "and some more plain words here " * 3 + "\n", "\n" + "x y " * 35 + "\n"):
+            secret = "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+            line = f"curl -H 'Authorization: Bearer {secret}' host"
+            text = gap.join([line] * 4)
+            assert [text[a:b] for a, _, b in novelty.spans(text, [])] == [secret] * 4
+
+
 def test_redact(docs):
     done = {(r["doc_id"], r["text"]) for r in secret_scan.redact(docs).collect()}
     for r in docs.collect():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from .checkpoints import cut
 
 #: Metrics, each a score of which more is better.
 METRICS = ("cosine", "dot", "l2", "l1")
@@ -51,18 +52,46 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "c
     return rows.select("vec_id", "target_kind", score(metric, F.col("embedding"), array).alias("score")).orderBy(F.col("score").desc(), "target_kind", "vec_id").limit(k)
 
 
+def _reach(metric: str, query: list[float], seed: list[float], radius: float) -> float:
+    """The best score that a vector within ``radius`` of ``seed`` can have (for cosine, both are of length 1)."""
+    import math
+
+    gap = max(0.0, math.dist(query, seed) - radius)
+    if metric == "dot":
+        return sum(a * b for a, b in zip(query, seed, strict=True)) + math.hypot(*query) * radius
+    return {"l2": -gap * gap, "l1": -gap, "cosine": 1 - gap * gap / 2}[metric]
+
+
 def ivf_search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", most_clusters: int = 64) -> DataFrame:
-    """Clusters around seeds spread by hash; the nearest sqrt(clusters) are scored exactly."""
+    """Clusters around seeds spread by hash. The nearest sqrt(clusters) give a k-th best score; then every cluster is
+    scored whose radius lets it reach that score, so the result is that of the exact search. Vectors without a cluster
+    (null, or of another dimension) are always scored."""
     import math
 
+    if metric not in METRICS:
+        raise QueryError("E_AI_ARGUMENT_REQUIRED", f"metric {metric}")
+    unit = metric == "cosine"
+    length = lambda v: F.sqrt(_sum(v, v, lambda x, y: x * y))
+    plain = F.col("embedding").cast("array<double>")
+    point = F.when(length(plain) > 0, F.transform(plain, lambda x: x / length(plain))) if unit else plain
+    usable = vectors.where(F.size("embedding") == len(query)).where(~F.exists(point, lambda x: x.isNull() | F.isnan(x)))
     n = vectors.count()
     clusters = max(1, min(most_clusters, int(math.sqrt(n))))
-    seeds = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(clusters).select("embedding").collect()
-    books = [list(map(float, r[0])) for r in seeds]
-    near = lambda v: F.array_min(F.array(*[F.struct((-score("l2", v, F.array(*[F.lit(x) for x in b]))).alias("d"), F.lit(i).alias("c")) for i, b in enumerate(books)]))["c"]
-    probes = max(1, math.ceil(math.sqrt(clusters)))
-    order = sorted(range(len(books)), key=lambda i: sum((a - b) ** 2 for a, b in zip(books[i], query, strict=True)))[:probes]
-    return search(vectors.where(near(F.col("embedding")).isin(order)), query, k, metric)
+    books = [list(r[0]) for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(clusters).select(point).collect()]
+    size = math.hypot(*query)
+    if not books or not math.isfinite(size) or (unit and not size):
+        return search(vectors, query, k, metric)
+    own = [x / size for x in query] if unit else list(map(float, query))
+    best = F.array_min(F.array(*[F.struct((-score("l2", F.col("_point"), F.array(*[F.lit(x) for x in b]))).alias("d"), F.lit(i).alias("c")) for i, b in enumerate(books)]))
+    whole = (F.size("_point") == len(query)) & ~F.exists("_point", lambda x: x.isNull() | F.isnan(x))
+    dealt = cut(vectors.withColumn("_point", point).withColumn("_near", F.when(whole, best)).drop("_point"))
+    radii = {r["c"]: math.sqrt(r["d"]) for r in dealt.where("_near is not null").groupBy(F.col("_near.c").alias("c")).agg(F.max("_near.d").alias("d")).collect()}
+    order = sorted(radii, key=lambda i: math.dist(own, books[i]))[: max(1, math.ceil(math.sqrt(clusters)))]
+    first = [r["score"] for r in search(dealt.where(F.col("_near.c").isin(order)), query, k, metric).collect()]
+    reach = {i: _reach(metric, own, books[i], r * (1 + 1e-9) + 1e-9) for i, r in radii.items()}
+    floor = first[-1] if len(first) == k else -math.inf
+    chosen = [i for i, x in reach.items() if not x < floor - 1e-6 * max(1.0, abs(floor))]
+    return search(dealt.where(F.col("_near").isNull() | F.col("_near.c").isin(chosen)).drop("_near"), query, k, metric)
 
 
 def quantised(x: Column, steps: int = 16) -> Column:

@@ -241,3 +241,17 @@ def test_streams_equal_batches(spark, tmp_path):
     q = events.append_log(stream, lambda b: b.select("event_id"), f"{tmp_path}/log", f"{tmp_path}/ck")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/log").count() == 150
+
+
+def test_ivf_is_exact(spark):
+    """Noise without clusters, where few probes find about half, and rows that no cluster takes."""
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(600)]
+    df = spark.createDataFrame([*rows, (1000, None)], "vec_id long, embedding array<float>")
+    for metric in vectors.METRICS:
+        for i in (0, 300) if metric == "cosine" else (50,):
+            query = list(map(float, rows[i][1]))
+            got = [tuple(r) for r in vectors.ivf_search(df, query, 10, metric).collect()]
+            assert got == [tuple(r) for r in vectors.search(df, query, 10, metric).collect()] and len(got) == 10

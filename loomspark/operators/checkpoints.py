@@ -1,22 +1,72 @@
-"""Lineage cuts for loops: tables written into the shared checkpoint folder that the session names."""
+"""Lineage cuts: tables written into the shared checkpoint folder that the session names.
+
+A written table survives the loss of executors, has a known size for the planner, and carries no constraints of earlier
+plans, which would grow with every round of a loop. The JVM deletes the tables when the session ends; ``drop`` deletes
+one earlier, and ``scratch`` all that were made within it but those that are kept."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import QueryError
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table and read back: its plan, constraints and lineage start anew.
+_SCOPES: list[list[DataFrame]] = []
+_LOCAL: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, or the folder that was given to setCheckpointDir. Only a local session, as
+    in tests, gets a folder of its own; on a cluster a folder of one machine would lose the tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise QueryError("E_REF_INVALID", "set spark.checkpoint.dir to a folder that all machines share")
+    return _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="loomspark-"))
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    Reads spark.checkpoint.dir; a temporary folder only where that is unset, as in tests. The JVM deletes the table
-    when the session ends."""
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table and read back: its plan, constraints and lineage start anew."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/loomspark-step-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/loomspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the tables of ``cut`` that are read by ``tables``; nothing may read them any more."""
+    for df in tables:
+        if path := getattr(df, "_cut_path", None):
+            where, fs = _path(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes at its end every table that ``cut`` made within it, but those put into the list that it gives."""
+    kept: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield kept
+    finally:
+        safe = {getattr(df, "_cut_path", None) for df in kept}
+        made = _SCOPES.pop()
+        drop(*[df for df in made if df._cut_path not in safe])
+        if _SCOPES:
+            _SCOPES[-1].extend(df for df in made if df._cut_path in safe)

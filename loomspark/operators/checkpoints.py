@@ -6,6 +6,8 @@ one earlier, and ``scratch`` all that were made within it but those that are kep
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +29,10 @@ def folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise QueryError("E_REF_INVALID", "set spark.checkpoint.dir to a folder that all machines share")
-    return _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="loomspark-"))
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="loomspark-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
+    return _LOCAL["folder"]
 
 
 def _path(spark: SparkSession, path: str):

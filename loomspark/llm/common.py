@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,58 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..operators.checkpoints import cut, drop, scratch
+
+__all__ = ["append", "components", "cut", "drop", "packed", "released", "scratch", "slices", "table", "unpacked"]
+
 #: Rows of an Arrow batch are also bounded in bytes, so that very long texts cannot fill a Python worker.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the input folder; the path is only ever opened by Spark."""
-    for key, most in (("maxBytesPerBatch", 2 * ARROW_BATCH_BYTES), ("maxRecordsPerBatch", 4096)):
+    for key, most in (("maxBytesPerBatch", 2 * ARROW_BATCH_BYTES), ("maxRecordsPerBatch", 2048)):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))  # batches are bounded in bytes, whatever the rows
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table into the cluster's checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder takes its place. A written table survives the loss of executors, has a known size for the
-    planner, and carries no constraints of earlier plans, which would grow with every round of a loop. The JVM
-    deletes the tables when the session ends; ``drop`` deletes one earlier."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _OWN.setdefault("folder", None) or tempfile.mkdtemp(prefix="loomspark-")
-        _OWN["folder"] = folder
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = f"{folder.rstrip('/')}/loomspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where, fs = _path(spark, path)
-    fs.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-_OWN: dict[str, str | None] = {}
-
-
-def _path(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the table of ``cut`` that ``df`` reads; nothing may read it any more."""
-    if path := getattr(df, "_cut_path", None):
-        where, fs = _path(df.sparkSession, path)
-        fs.delete(where, True)
-
-
 def append(df: DataFrame, inputs: list[str], function: Callable, added: str, done: Callable | None = None) -> DataFrame:
     """``df`` with the columns of ``added`` (a DDL string) after its own; ``function`` maps the Arrow columns
     ``inputs`` of a batch to one Arrow array for each. A column of ``df`` with one of the new names gives way.
-    ``done`` runs at the end of each task, as the worker that a task leaves behind should hold little memory."""
+    ``done`` runs at the end of each task, and memory that is free then goes back to the system, as the worker that a
+    task leaves behind waits for the next one beside others."""
     new = _parse_datatype_string(added)
     old = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new.names])
     kinds = to_arrow_schema(new)
@@ -78,10 +43,20 @@ def append(df: DataFrame, inputs: list[str], function: Callable, added: str, don
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *kinds.names])
         if done is not None:
             done()
+        released()
 
     return old.mapInArrow(batches, StructType([*old.schema.fields, *new.fields]))
 
 
+def released() -> None:
+    """Give what this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def packed(docs: DataFrame, *needed) -> DataFrame:
     """The whole rows of ``docs`` as one struct ``_row``, beside the columns that an operator needs: whatever names the
     operator adds, no other column of the input is touched."""

@@ -1,19 +1,25 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-A source's documents, in a seeded order, make one stream of words. Seats are words: the highest quotients
-target / (2 i + 1) get them, and shard j of the mix gets what the first j shares of the seats add (the method never takes
-a seat away when there are more). A source's quota of q words of its n is q // n passes over its whole stream and the
-first q % n words of it, a sample of its documents as their order is seeded. So every document is taken whole but the
-one at the end of the quota: with at most a block's words it is taken or left as a whole, whichever is nearer to the
-quota, and a longer one is cut there. No word is taken more than once a pass, and but for the targets themselves no
-source has an influence on what is taken of another.
-
-Work: one prefix sum over the words of each source, computed within buckets of the seeded order and then over the
-buckets, so that a source with a third of all rows is never in one task; the totals of the sources (one row each) are
-the only thing the driver sees.
+The words of a source's documents, in a seeded order of the documents, make one stream. A block is one word, the finest
+equal block, so that quotas meet the targets whatever the smallest source. The highest quotients target / (2 i + 1) get
+the seats, and shard j of the mix has for each source what the first j shares of the seats add to the first j - 1 (the
+method never takes a seat away when there are more). The shards then select their blocks one after the other: shard j
+goes on in each source's stream where shard j - 1 ended, from the start again after the last word, so a source's quota
+of q of its n words is q // n passes over the stream and its first q % n words, a sample as the order is seeded.
+
+Documents stay whole: one belongs to the shard in which it starts, and at the end of a source's quota a document of at
+most a block share's words is taken or left, whichever is nearer; a longer one is cut there. No word is taken more than
+once a pass, and but for the targets no source has an influence on what is taken of another.
+
+Work: no row is moved. The order is a hash of (doc_id, text); the sizes are summed by (source, leading bits of the hash),
+the ends of the shards are looked up in these sums, and only the rows of the few ranges of the hash that hold an end
+are sorted to find the document there. Every row is then placed by comparing its hash with the ends of its source. The
+driver sees one row for each source (name, size, ends); the table of sources is broadcast while it is small.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, the last; rows that repeat a
-doc_id count each; an empty table gives an empty result; sources of size 0 have target 0; other columns are ignored.
+doc_id count each, and rows that repeat it with the same text are numbered where an end falls among them; an empty table
+gives an empty result; sources of size 0 have target 0; very long texts are counted and cut in the JVM; other columns
+are ignored by the query and kept by ``mixed_texts``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,18 +27,19 @@ from __future__ import annotations
 import heapq
 import math
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
 
-SEED, SHARDS, WEIGHTS, MOST = "mix-1", 8, (1, 2, 3), 3
-#: A block is this share of its source, and at most so many words.
+SEED, SHARDS, WEIGHTS, MOST = 20260, 8, (1, 2, 3), 3
+#: The end of a quota cuts documents of more words than this share of their source, or than so many.
 BLOCK_SHARE, BLOCK_MOST = 256, 1024
-BUCKET_ROWS, BROADCAST_SOURCES = 20_000, 50_000
-WORD = r"[^\x20\x09-\x0D]+"
+#: The leading bits of the order by which sizes are summed; sources whose table is broadcast.
+RANGE_BITS, BROADCAST_SOURCES = 12, 10_000
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
+PLAN = "_name string, _source int, source_size long, target double, quota long, _block long, _ends array<struct<turn:long,key:long,copy:long,part:long>>"
 
 
 def targets(sizes: list[int], weights: list[int]) -> list[float]:
@@ -76,7 +83,7 @@ def sainte_lague(shares: list[float], seats: int, most: list[int]) -> list[int]:
 
 
 def plan(sources: list[tuple[str | None, int]]) -> list[dict]:
-    """For each (source, size): its target, block, quota in words and quotas by shard."""
+    """For each (source, size): its target, block, quota in words, and the quotas of the shards."""
     ordered = sorted(sources, key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [s for _, s in ordered]
     shares = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
@@ -92,89 +99,101 @@ def plan(sources: list[tuple[str | None, int]]) -> list[dict]:
     return out
 
 
-def takes(start: int, size: int, p: dict) -> list[tuple[int, int, int]]:
-    """(from, to, times) of the words of a document, from its start in the source's stream."""
-    if not size:
-        return []
-    passes, extra = divmod(p["quota"], p["source_size"])
-    more = min(max(extra - start, 0), size)
-    if size <= p["block"]:
-        more = size if 2 * more >= size else 0
-    parts = [(0, more, passes + 1), (more, size, passes)]
-    return [x for x in parts if x[0] < x[1]]
-
-
-def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """``docs`` with size, _source (its number) and start (words of its source before it), and the sources' plans."""
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    known = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-    plans = plan([(r["source"], r["size"]) for r in known])
-    rows = sum(r["rows"] for r in known)
-    numbers = {p["name"]: i for i, p in enumerate(plans)}
-    spark = docs.sparkSession
-    number = spark.createDataFrame([(name, i) for name, i in numbers.items()], "_name string, _source int")
-    if len(plans) <= BROADCAST_SOURCES:  # else AQE splits the sources that have very many rows
-        number = F.broadcast(number)
-    numbered = sized.join(number, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    buckets = max(1, -(-rows // BUCKET_ROWS))
-    order = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = numbered.withColumn("_order", order).withColumn("_bucket", (F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long"))
-    return keyed, plans
-
-
-def starts(keyed: DataFrame) -> DataFrame:
-    """Adds ``start``: a prefix sum within (source, bucket), and one over the buckets' totals."""
-    totals = keyed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
-    up_to = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_source", "_bucket", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_source", "_bucket"]).withColumn("start", F.col("_inside") + F.col("_offset")).drop("_inside", "_offset")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, the place of a document in the seeded order of its source."""
+    return docs.withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id", "text"))
+
+
+def words_of(text: str | Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def placed(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """``rows(source, _key, ...)`` with its source's plan, ``_copy`` (its number among equal rows, where that matters),
+    ``times`` (how often it is taken whole) and ``_part`` (words of one more time, of a document that is cut).
+
+    ``sized(source, _key, size)`` is read twice: for the sums, and in the ranges that hold the end of a shard."""
+    spark, reach = rows.sparkSession, F.shiftright("_key", 64 - RANGE_BITS)
+    sums = common.cut(sized.groupBy("source", reach.alias("_range")).agg(F.sum("size").alias("_sum")))
+    plans = plan([(r["source"], r["size"]) for r in sums.groupBy("source").agg(F.sum("_sum").alias("size")).collect()])
+    wanted = []  # (source, shard, words of the source before the shard's end)
+    for i, p in enumerate(plans):
+        up_to = 0
+        for j, quota in enumerate(p["shards"]):
+            up_to += quota
+            if p["source_size"]:
+                wanted.append((p["name"], i, j, up_to % p["source_size"]))
+    ends = spark.createDataFrame(wanted, "_name string, _source int, _shard int, _rest long")
+    ends = F.broadcast(ends) if len(plans) <= BROADCAST_SOURCES else ends
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = sums.withColumn("_before", before).join(ends, F.col("source").eqNullSafe(F.col("_name"))).where("_rest >= _before and _rest < _before + _sum")
+    found = common.cut(found.select("_name", "_source", "_shard", "_range", (F.col("_rest") - F.col("_before")).alias("_rest")))
+    ranges = found.select("_name", "_source", "_range").distinct()
+    near = sized.withColumn("_at", reach).join(F.broadcast(ranges) if len(plans) <= BROADCAST_SOURCES else ranges, F.col("source").eqNullSafe(F.col("_name")) & (F.col("_at") == F.col("_range")))
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "size")
+    lined = near.select("_source", "_range", "_key", "size", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.row_number().over(Window.partitionBy("_source", "_range", "_key").orderBy("size")).alias("_copy"), F.count("*").over(Window.partitionBy("_source", "_range", "_key")).alias("_many"))
+    hits = lined.join(F.broadcast(found.drop("_name")) if len(plans) <= BROADCAST_SOURCES else found.drop("_name"), ["_source", "_range"]).where("_rest >= _start and _rest < _start + size")
+    of_source: dict[int, dict[int, tuple]] = {}
+    repeated = False
+    for r in hits.select("_source", "_shard", "_key", "_copy", "_many", (F.col("_rest") - F.col("_start")).alias("_part")).collect():
+        of_source.setdefault(r["_source"], {})[r["_shard"]] = (r["_key"], r["_copy"], r["_part"])
+        repeated = repeated or r["_many"] > 1
+    table = []
+    for i, p in enumerate(plans):
+        up_to, marks = 0, []
+        for j, quota in enumerate(p["shards"]):
+            up_to += quota
+            marks.append((up_to // p["source_size"] if p["source_size"] else 0, *of_source.get(i, {}).get(j, (-(1 << 63), 0, 0))))
+        table.append((p["name"], i, p["source_size"], p["target"], p["quota"], p["block"], marks))
+    told = spark.createDataFrame(table, PLAN)
+    out = rows.join(F.broadcast(told) if len(plans) <= BROADCAST_SOURCES else told, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    if repeated:  # number the equal rows at the ends; no other row needs a number
+        at_end = F.exists("_ends", lambda e: e["key"] == F.col("_key"))
+        turn = F.row_number().over(Window.partitionBy("_source", "_key").orderBy(F.xxhash64(*rows.columns)))
+        out = out.where(~at_end).withColumn("_copy", F.lit(1)).unionByName(out.where(at_end).withColumn("_copy", turn))
+    else:
+        out = out.withColumn("_copy", F.lit(1))
+    last = F.element_at("_ends", -1)
+    here = F.struct(F.col("_key").alias("key"), F.col("_copy").cast("long").alias("copy"))
+    end = F.struct(last["key"].alias("key"), last["copy"].alias("copy"))
+    return out.withColumns({"_at_end": (here == end) & (last["part"] > 0), "_before_end": here < end})
+
+
+def takes(size: Column) -> tuple[Column, Column]:
+    """(times that a document is taken whole, words of one time more), from the columns of ``placed``."""
+    last = F.element_at("_ends", -1)
+    small = size <= F.col("_block")
+    more = F.when(F.col("_before_end"), 1).when(F.col("_at_end") & small & (2 * last["part"] >= size), 1).otherwise(0)
+    return (F.when(size > 0, last["turn"] + more).otherwise(0)).cast("long"), F.when(F.col("_at_end") & ~small, last["part"]).otherwise(0).cast("long")
+
+
+#: The shards of the mix that a document is in, one for each time that it is taken: those whose end lies before it.
+SHARDS_OF = f"""array_join(transform(if(_all = 0, array(), sequence(1, cast(_all as int))), n -> size(filter(slice(_ends, 1, {SHARDS - 1}),
+    e -> e.turn < n - 1 or (e.turn = n - 1 and (e.key < _key or (e.key = _key and (e.copy < _copy or (e.copy = _copy and e.part = 0)))))))), ',')"""
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, quota) for ``docs(doc_id, text, source)``."""
-    keyed, plans = placed(docs.select("doc_id", "text", "source"))
-    slim = starts(keyed.select("doc_id", "source", "_source", "size", "_order", "_bucket"))
-
-    def run(numbers, begins, sizes):
-        out: list[list] = [[], [], [], []]
-        for i, start, size in zip(numbers.to_pylist(), begins.to_pylist(), sizes.to_pylist(), strict=True):
-            p = plans[i]
-            for column, value in zip(out, (p["source_size"], p["target"], sum((b - a) * n for a, b, n in takes(start, size, p)), p["quota"]), strict=True):
-                column.append(value)
-        return out
-
-    found = common.append(slim, ["_source", "start", "size"], run, "source_size long, target double, taken long, quota long")
-    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "quota")
+    """(doc_id, size, source_size, target, taken, source, quota, shards) for ``docs(doc_id, text, source)``."""
+    sized = common.cut(keyed(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_key", words_of("text").alias("size")))
+    times, part = takes(F.col("size"))
+    out = placed(sized, sized).withColumns({"_times": times, "_words": part})
+    out = out.withColumn("_all", F.col("_times") + F.when(F.col("_words") > 0, 1).otherwise(0))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("_times") * F.col("size") + F.col("_words")).alias("taken"), "source", "quota", F.expr(SHARDS_OF).alias("shards"))
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
-    """The mix itself: for each pass, ``docs`` with the words that it takes; whole texts stay as they are, and of the one
-    that the quota's end cuts the words before it are kept with the white space inside them."""
-    import re
-
-    keyed, plans = placed(common.packed(docs, "doc_id", "text", "source"))
-    word = re.compile(WORD)
-    slim = starts(keyed)
-
-    def run(texts, numbers, begins, sizes):
-        out = []
-        for x, i, start, size in zip(texts, numbers.to_pylist(), begins.to_pylist(), sizes.to_pylist(), strict=True):
-            text, p, versions = x.as_py(), plans[i], []
-            parts = takes(start, size, p)
-            spans = None
-            for turn in range(max([0, *(n for _, _, n in parts)])):
-                if all(n > turn for _, _, n in parts):
-                    versions.append(text)
-                    continue
-                spans = spans or [m.span() for m in word.finditer(text)]
-                a, b = next((a, b) for a, b, n in parts if n > turn)
-                versions.append(text[spans[a][0] : spans[b - 1][1]])
-            out.append(versions)
-        return [pa.array(out, pa.list_(pa.string()))]
-
-    found = common.append(slim, ["text", "_source", "start", "size"], run, "_versions array<string>")
-    return common.unpacked(found.withColumn("_version", F.explode("_versions")), docs, "_version")
+    """The mix itself: ``docs``, once for each time that a document is taken; whole texts stay as they are, and of one that
+    the quota's end cuts the words before it are kept with the white space between them."""
+    rows = keyed(common.packed(docs, "doc_id", "text", "source")).drop("doc_id")
+    sized = rows.select("source", "_key", words_of("text").alias("size"))
+    # only a document at an end has to be counted again; what has words is asked of the others
+    size = F.when(F.col("_at_end"), words_of("text")).when(F.col("text").rlike(WORD), 1).otherwise(0)
+    times, part = takes(F.col("_size"))
+    out = placed(rows, sized).withColumn("_size", size).withColumns({"_times": times, "_words": part})
+    out = out.withColumn("_all", F.col("_times") + F.when(F.col("_words") > 0, 1).otherwise(0)).where("_all > 0")
+    out = out.select("_row", "text", "_times", "_words", F.explode(F.expr("sequence(1, cast(_all as int))")).alias("_turn"))
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(GAP + WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    return common.unpacked(out.withColumn("_text", F.when(F.col("_turn") <= F.col("_times"), F.col("text")).otherwise(F.regexp_replace(start, "^" + GAP, ""))), docs, "_text")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,8 +274,47 @@ def test_mixing_keeps_documents_whole_beside_a_small_source(spark):
     for source, n in Counter(r["source"] for r in out for _ in r["text"].split()).items():
         target = next(r["target"] for r in mixing.mix(df).collect() if r["source"] == source)
         assert abs(n - target) <= 2
-    p = {"quota": 80_050, "source_size": 100_000, "block": 390}
-    assert [mixing.takes(s, 100, p) for s in (79_900, 80_000, 80_100)] == [[(0, 100, 1)], [(0, 100, 1)], [(0, 100, 0)]]
+
+
+def brute_mix(rows):
+    """(doc_id, size, taken, shards) of (doc_id, text, source, key) by walking each source's stream word by word."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += words(r["text"])
+    out = Counter()
+    for p in mixing.plan(list(sizes.items())):
+        own = sorted((r["_key"], words(r["text"]), r["doc_id"]) for r in rows if r["source"] == p["name"])
+        ends = [sum(p["shards"][: j + 1]) for j in range(mixing.SHARDS)]
+        at = [[0, []] for _ in own]
+        place, turn = 0, 0
+        while place < p["quota"]:
+            for i, (_, size, _) in enumerate(own):
+                if size and place < p["quota"]:
+                    got = min(size, p["quota"] - place)
+                    if got < size <= p["block"]:
+                        got = size if 2 * got >= size else 0
+                    if got:
+                        at[i][0] += got
+                        at[i][1].append(sum(e <= place for e in ends[:-1]))
+                place += size
+            turn += 1
+        for (_, size, doc), (taken, shards) in zip(own, at, strict=True):
+            out[doc, size, taken, ",".join(map(str, shards))] += 1
+    return out
+
+
+def test_mixing_against_the_stream(spark, docs):
+    many = [(i % 97, prose(i % 131, 1 + (i * 7) % 60), [None, "a", "b", "c"][(i % 11) % 4]) for i in range(900)]
+    many += [(5, prose(3, 5000), "a"), (5, prose(3, 5000), "a")] + [(7, "the same words", "b")] * 400 + [(8, prose(4, 9), "tiny")]
+    for df in (spark.createDataFrame(many, "doc_id long, text string, source string"), docs.select("doc_id", "text", "source")):
+        got = Counter((r["doc_id"], r["size"], r["taken"], r["shards"]) for r in mixing.mix(df).collect())
+        assert got == brute_mix(mixing.keyed(df).collect())
+        texts = Counter(r["doc_id"] for r in mixing.mixed_texts(df).collect())
+        want = Counter()
+        for (doc, _, _, shards), n in got.items():
+            want[doc] += n * len([s for s in shards.split(",") if s])
+        assert texts == +want
 
 
 def test_forward_backward_against_all_paths():

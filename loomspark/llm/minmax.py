@@ -6,16 +6,20 @@ the bucket keys. A pair with Jaccard similarity s falls into a common bucket wit
 1 - (1 - s**(2 w))**(PERMUTATIONS // w); w is the largest width for which a pair at the threshold is missed with a
 probability of at most ``MISS``: 4 for 0.85 (missed with 0.00004) and 3 for 0.8 (missed with 0.000003).
 
-Within a bucket not all pairs are expanded: members are verified against one leader, verified links are merged into
-components, and only buckets that still hold several components go on. There, the members outside the bucket's main
-component become leaders in turn, ``LEADERS`` in the first round and twice as many in each further one, until every
-member has joined the main component or has been compared with all others; buckets of at most ``SMALL`` members
-finish at once. No candidate is capped or dropped. Links are confirmed on full shingle sets.
+Documents with the same shingle set are one node, told apart by 128 bits. Within a bucket not all pairs are expanded:
+members are verified against one leader, verified links are merged into components, and only buckets that still hold
+several components go on. There, members outside the bucket's main component become leaders, about ``LEADERS`` in the
+first round and twice as many in each further one, until every member has joined the main component or has been
+compared with all others; buckets of at most ``SMALL`` members finish at once. No candidate is capped or dropped. Links
+are confirmed on full shingle sets.
+
+Scale: a bucket of any size is dealt to units of bounded members and shingles, and every join by bucket is a join by
+(bucket, unit); a text crosses one shuffle, by a key of (doc_id, text).
 
 Defined cases: null, empty or blank text gives the empty set (0 shingles, linked with nothing, a component of its
 own); fewer than five words give one shingle; equal texts share a component; rows that repeat a doc_id are kept and
-take the component of their own text; a null doc_id takes no part in the minimum; an empty table gives an empty
-result; other columns of the input are ignored.
+take the component of their own text; a null doc_id takes no part in the minimum; a very long text is a unit of its
+own; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
 SHINGLE, PERMUTATIONS, MISS, SEED = 5, 128, 1e-4, 20260
-SMALL, LEADERS, UNIT = 32, 8, 128
+SMALL, LEADERS, UNIT, UNIT_SHINGLES, SALTS = 32, 8, 128, 1 << 20, 16
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -90,29 +94,39 @@ def band_keys(signatures: np.ndarray, width: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Columns of a signed document: its row's key, and the 128-bit digest of its shingle set, which is its identity.
+SIGNED = "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, bands array<long>"
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """Two longs that stand for (doc_id, text)."""
+    return F.xxhash64(F.lit(1), doc_id, text).alias("k1"), F.xxhash64(F.lit(2), doc_id, text).alias("k2")
+
+
 def _signed(width: int):
-    """Arrow batches (doc_id, text, text_key) -> (doc_id, text_key, n_shingles, node, bands)."""
+    """Arrow batches (doc_id, text, k1, k2) -> ``SIGNED``."""
 
     def run(rows):
         family = permutations()
         for batch in rows:
             for part in common.slices(batch):
                 yield _signed_part(part, family, width)
+        common.released()
 
     return run
 
 
 def _signed_part(part: pa.RecordBatch, family, width: int) -> pa.RecordBatch:
-    kinds = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
     sets = [shingle_set(x.as_py()) for x in part.column("text")]
-    sizes = [len(s) for s in sets]
-    nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+    digests = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) if len(s) else None for s in sets]
     full = [i for i, s in enumerate(sets) if len(s)]
     bands: list = [None] * len(sets)
     if full:
         for i, keys in zip(full, band_keys(np.stack([signature(sets[i], family) for i in full]), width), strict=True):
             bands[i] = keys
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=kinds)
+    halves = [pa.array([None if d is None else int(d[k]) for d in digests], pa.int64()) for k in (0, 1)]
+    columns = [*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array([len(s) for s in sets], pa.int64()), *halves, pa.array(bands, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n_shingles", "s1", "s2", "bands"])
 
 
 def _hashed(rows):
@@ -120,6 +134,7 @@ def _hashed(rows):
     for batch in rows:
         for part in common.slices(batch):
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_set(x.as_py()).tobytes() for x in part.column("text")], pa.binary())], names=["node", "full"])
+    common.released()
 
 
 def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -128,25 +143,9 @@ def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(other) - both)
 
 
-def _verified(percent: int):
-    """Arrow batches (a, b, full_a, full_b) -> the pairs (a, b) that reach the similarity on their full sets."""
-
-    def run(rows):
-        for batch in rows:
-            a, b, fa, fb = (batch.column(n) for n in ("a", "b", "full_a", "full_b"))
-            good, last, kept = [], None, None
-            for i in range(batch.num_rows):
-                if b[i].as_py() != last:
-                    last, kept = b[i].as_py(), np.frombuffer(fb[i].as_buffer(), np.uint64)
-                good.append(alike(np.frombuffer(fa[i].as_buffer(), np.uint64), kept, percent))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-    return run
-
-
 def _compared(percent: int):
-    """One unit of a bucket, Arrow columns (side, node, label, n, full): leaders (side 1) against members (side 0)."""
+    """One unit, Arrow columns (side, node, label, n, full): leaders (side 1) against members (side 0); the pairs that
+    reach the similarity on their full sets and whose labels differ."""
 
     def run(rows: pa.Table) -> pa.Table:
         side, node, label, n = (rows.column(c).to_numpy() for c in ("side", "node", "label", "n"))
@@ -163,84 +162,109 @@ def _compared(percent: int):
     return run
 
 
+def parts(count, shingles):
+    """Units for so many members with so many shingles: at most about ``UNIT`` members and ``UNIT_SHINGLES`` each."""
+    return F.greatest(F.ceil(count / UNIT), F.ceil(shingles / UNIT_SHINGLES), F.lit(1)).cast("long")
+
+
+def _part(by: str):
+    return F.pmod(F.xxhash64("node", F.lit(11)), F.col(by))
+
+
+def _every(by: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(by) - 1))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept, near_group, text_key)`` for ``docs(doc_id, text)``; links need 100 * common >= percent * union."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    signed = common.cut(slim.mapInArrow(_signed(band_width(percent)), "doc_id long, text_key long, n_shingles long, node long, bands array<long>"))
-    nodes = common.cut(
-        signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least_doc"))
-    )
+    """``(doc_id, n_shingles, component_id, kept, near_group, k1, k2, first)`` for ``docs(doc_id, text)``; links need
+    100 * common >= percent * union, and ``first`` marks the row (doc_id, text) that stands for its group."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", *row_key())
+    signed = common.cut(slim.mapInArrow(_signed(band_width(percent)), SIGNED))
+    # A node is a distinct shingle set; its first row is that of the smallest doc_id. Ids are dealt when it is written.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    nodes = signed.where("s1 is not null").groupBy("s1", "s2").agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min(order).alias("row"))
+    nodes = common.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = common.cut(rows.join(buckets, "bucket").select("bucket", "node", "n", "size", (F.col("node") == F.col("leader")).alias("tested")))
-    # the full set of each node that shares a bucket, once
-    wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-    one_each = slim.where("text is not null").join(wanted.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = common.cut(wanted.join(one_each, "text_key").select("node", "text").mapInArrow(_hashed, "node long, full binary"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        fits = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b").distinct()
-        full = fits.join(sets.select(F.col("node").alias("a"), F.col("full").alias("full_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("full").alias("full_b")), "b")
-        return full.select("a", "b", "full_a", "full_b").mapInArrow(_verified(percent), "a long, b long")
-
-    def against(leaders: DataFrame, all_members: DataFrame) -> DataFrame:
-        lead = leaders.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        return all_members.join(lead, "bucket").where("node <> b and label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "n", "m")
-
-    def in_units(leaders: DataFrame, all_members: DataFrame) -> DataFrame:
-        """The same for many leaders in large buckets: each full set goes once to each unit of at most about ``UNIT``
-        members and ``UNIT`` leaders of a bucket, not once to each pair."""
-        shape = leaders.groupBy("bucket").agg(F.ceil(F.count("*") / UNIT).alias("wide"), F.ceil(F.max("size") / UNIT).alias("high"))
-        dealt = lambda df, by: F.pmod(F.xxhash64("node", F.lit(by)), F.col(by))
-        every = lambda by: F.explode(F.sequence(F.lit(0).cast("long"), F.col(by) - 1))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("node").alias("leader")).where("size > 1")
+    members = rows.join(buckets.select("bucket", "size", "leader", parts(F.col("size"), F.col("total")).alias("high")), "bucket")
+    members = common.cut(members.select("bucket", "node", "n", "size", "high", _part("high").alias("y"), (F.col("node") == F.col("leader")).alias("tested")))
+    # The full set of each node that shares a bucket, from the text of its first row: a text is moved once, by a key
+    # that copies do not share.
+    wanted = members.select("node").distinct().join(nodes.select("node", "row.k1", "row.k2"), "node")
+    texts = slim.where("text is not null").select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+    sets = texts.select("node", "text").mapInArrow(_hashed, "node long, full binary")
+    sets = common.cut(sets.groupBy("node").agg(F.first("full").alias("full")))  # rows may repeat
+
+    def pairs_of_first_leaders() -> DataFrame:
+        """Each member against its bucket's first leader, each pair once, whatever the buckets that it shares; a leader's
+        members are dealt to units, so that its set goes to each unit and not to each pair."""
+        lead = members.where("tested").select("bucket", "high", F.col("node").alias("b"), F.col("n").alias("m")).withColumn("y", _every("high")).drop("high")
+        near = members.where("not tested").join(lead, ["bucket", "y"]).where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+        near = common.cut(near.groupBy(F.col("node").alias("a"), "b").agg(F.first("n").alias("n"), F.first("m").alias("m")))
+        units = near.groupBy("b").agg(F.count("*").alias("many"), F.sum("n").alias("total"), F.first("m").alias("m")).select("b", "m", parts(F.col("many"), F.col("total")).alias("units"))
+        low = near.withColumn("salt", F.pmod(F.xxhash64("a", F.lit(3)), F.lit(SALTS))).join(units.select("b", "units").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1)))), ["b", "salt"])
+        low = low.select("b", F.pmod(F.xxhash64("a", F.lit(5)), F.col("units")).alias("unit"), F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("label"), "n")
+        high = units.select("b", _every("units").alias("unit"), F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("label"), F.col("m").alias("n"))
+        return low.unionByName(high).join(sets, "node").select("b", "unit", "side", "node", "label", "n", "full").groupBy("b", "unit").applyInArrow(_compared(percent), "a long, b long")
+
+    def pairs_of(leaders: DataFrame, members: DataFrame) -> DataFrame:
+        """Leaders against the members of their buckets in units of at most about ``UNIT`` members and ``UNIT`` leaders:
+        each full set goes once to each unit, not once to each pair."""
+        shape = leaders.groupBy("bucket").agg(parts(F.count("*"), F.sum("n")).alias("wide"), F.first("high").alias("high"))
         columns = ["bucket", "node", "label", "n"]
-        low = all_members.join(shape, "bucket").withColumn("y", dealt(all_members, "high")).withColumn("x", every("wide")).select(*columns, "x", "y", F.lit(0).alias("side"))
-        lead = leaders.join(shape, "bucket").withColumn("x", dealt(leaders, "wide")).withColumn("y", every("high")).select(*columns, "x", "y", F.lit(1).alias("side"))
+        low = members.join(shape.withColumn("y", _every("high")).drop("high"), ["bucket", "y"]).withColumn("x", _every("wide")).select(*columns, "x", "y", F.lit(0).alias("side"))
+        lead = leaders.drop("high").join(shape.withColumn("y", _every("high")), ["bucket", "y"]).withColumn("x", _part("wide")).drop("y").withColumn("y", _every("high")).select(*columns, "x", "y", F.lit(1).alias("side"))
         full = low.union(lead).join(sets, "node").select("bucket", "x", "y", "side", "node", "label", "n", "full")
         return full.groupBy("bucket", "x", "y").applyInArrow(_compared(percent), "a long, b long")
 
-    own = members.withColumn("label", F.col("node"))
-    links = common.cut(confirm(against(own.where("tested"), own)))
+    links = common.cut(pairs_of_first_leaders())
     labels = sets.select("node").join(common.components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     labels, leaders = common.cut(labels), LEADERS
     while True:
         # Links that are still unknown join two components, so one of their ends lies outside the bucket's main component.
-        known = members.join(labels, "node").select("bucket", "node", "n", "size", "tested", "label")
-        known = common.cut(known)
-        main = known.groupBy("bucket", "label").agg(F.count("*").alias("many")).groupBy("bucket").agg(F.max_by("label", F.struct("many", "label")).alias("main"))
-        open_buckets = known.where("not tested").join(main, "bucket").where("label <> main").select("bucket", "main").distinct()
-        members = common.cut(known.join(open_buckets, "bucket"))
+        known = common.cut(members.join(labels, "node"))
+        main = known.groupBy("bucket", "label").agg(F.count("*").alias("many"), F.sum(F.when(~F.col("tested"), 1).otherwise(0)).alias("left"), F.first("high").alias("high"))
+        main = main.groupBy("bucket").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.max_by("left", F.struct("many", "label")).alias("of_main"), F.sum("left").alias("left"), F.first("high").alias("high"))
+        # ``left``: members outside the main component that no leader has been; a bucket without them is done
+        still = main.select("bucket", "main", (F.col("left") - F.col("of_main")).alias("left"), "high").where("left > 0")
+        members = common.cut(known.join(still.withColumn("y", _every("high")).drop("high"), ["bucket", "y"]))
         if members.isEmpty():
             break
-        turn = Window.partitionBy("bucket").orderBy("node")
-        chosen = members.where("not tested and label <> main").withColumn("turn", F.row_number().over(turn))
-        chosen = common.cut(chosen.where((F.col("size") <= SMALL) | (F.col("turn") <= leaders)).drop("turn"))
-        found = common.cut(in_units(chosen, members).distinct())
+        # About ``leaders`` of them are next, chosen by a hash, and one for certain.
+        chance = F.pmod(F.xxhash64("node", "bucket", F.lit(leaders)), F.lit(1 << 20)) * F.col("left") < F.lit(leaders << 20)
+        outside = members.where("not tested and label <> main")
+        sure = outside.groupBy("bucket").agg(F.min("node").alias("sure"), F.first("high").alias("high")).withColumn("y", _every("high")).drop("high")
+        chosen = common.cut(outside.join(sure, ["bucket", "y"]).where((F.col("size") <= SMALL) | chance | (F.col("node") == F.col("sure"))).drop("sure"))
+        found = common.cut(pairs_of(chosen, members).distinct())
         # new links join components; only these are merged further
         ends = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
         merges = ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         moved = common.components(merges).select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = common.cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        members = members.where(F.col("size") > SMALL).join(chosen.select("bucket", "node", F.lit(True).alias("now")), ["bucket", "node"], "left").select("bucket", "node", "n", "size", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
+        members = members.where(F.col("size") > SMALL).join(chosen.select("bucket", "node", F.lit(True).alias("now")), ["bucket", "node"], "left")
+        members = members.select("bucket", "node", "n", "size", "high", "y", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
         leaders *= 2
-    of_node = nodes.select("node", "least_doc").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least_doc")
-    least = of_node.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    ids = of_node.join(least, "label").select("node", "component_id", F.col("label").alias("near_group"))
-    out = signed.select("doc_id", "n_shingles", "node", "text_key").join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "near_group", "text_key")
+    of_node = nodes.select("node", "s1", "s2", "row").join(labels, "node", "left").select("s1", "s2", "row", F.coalesce("label", "node").alias("label"))
+    least = of_node.groupBy("label").agg(F.min("row").alias("least"))
+    ids = of_node.join(least, "label").select("s1", "s2", F.col("label").alias("near_group"), F.col("least").alias("least"))
+    out = signed.select("doc_id", "n_shingles", "s1", "s2", "k1", "k2").join(ids, ["s1", "s2"], "left")
+    component = F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    first = F.col("s1").isNull() | ((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "near_group", "k1", "k2", first.alias("first"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one row for each group of near duplicates: a row of the smallest doc_id. Blank texts have no group; equal rows of them go, others stay."""
-    found = near_duplicates(docs, percent).where("kept")
-    own = F.when(F.col("near_group").isNull(), F.col("text_key"))
-    marks = found.groupBy("doc_id", "near_group", own.alias("own")).agg(F.min("text_key").alias("text_key")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    keyed = common.packed(docs, "doc_id", F.xxhash64("text").alias("_text_key"))
-    rest = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    turn = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(1))
-    return common.unpacked(rest.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1"), docs)
+    """``docs`` with one row for each group of near duplicates, one of the smallest doc_id (of rows that share it, the one
+    that a hash puts first). Blank texts have no group: nothing is like them, and they all stay."""
+    marks = common.cut(near_duplicates(docs, percent).where("first").groupBy("k1", "k2", "n_shingles").count())
+    keyed = common.packed(docs, *row_key(F.col("doc_id").cast("long"), "text"))
+    if not marks.where("count > 1 and n_shingles > 0").isEmpty():
+        # Rows that repeat a (doc_id, text) that stays: one of them, found before anything is moved by that key.
+        blank = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+        rest = common.packed(docs.where(F.col("text").rlike(WORD)), *row_key(F.col("doc_id").cast("long"), "text"))
+        once = rest.groupBy("k1", "k2").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).join(marks, ["k1", "k2"], "left_semi")
+        return common.unpacked(once, docs).unionByName(blank)
+    return common.unpacked(keyed.join(marks, ["k1", "k2"], "left_semi"), docs)
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

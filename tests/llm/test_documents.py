@@ -94,6 +94,8 @@ def test_keep_one(docs):
     assert len(sets) == len(set(sets))
     blank = [r["text"] for r in kept if not shingles(r["text"])]
     assert Counter(blank) == Counter([None, "", " \t\n"])
+    named = docs.withColumns({"k1": F.lit("own"), "_row": F.lit(1), "node": F.lit(2)}).where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert Counter((r["doc_id"], r["k1"], r["_row"], r["node"]) for r in minmax.keep_one(named).collect()) == Counter((r["doc_id"], "own", 1, 2) for r in kept)
     assert {r["doc_id"] for r in kept} == {r[0] for r in brute_groups(docs.collect(), 80) if r[3]}
 
 

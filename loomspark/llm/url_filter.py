@@ -4,16 +4,19 @@ A rule (host, path, verdict) becomes a glob over the canonical URL ``.host`` bou
 the rule's host, the boundary, the rule's path, any characters. All globs are packed into one Shift-And mask of as
 many 64-bit words as needed: bit i of the state says that the characters of a glob up to its i-th have been seen, the
 shift carries between words, a ``*`` keeps its bit set on every character, and one table gives each character's mask.
-A batch of URLs is simulated together, one step for each character position, so the cost is the length of the URLs
-times the number of words, whatever the number of rules in a word.
+URLs of similar length are simulated together, one step for each character position, in tables of at most ``CELLS``
+characters; one of more than ``LONG`` characters alone. So the cost is the length of the URLs times the number of words,
+whatever the number of rules in a word, and the memory does not depend on the longest URL of a batch.
 
-The rule with the longest host and path wins; without one the verdict is ``default``. Defined cases: a null url or one
+The rule with the longest host and path wins; without one the verdict is ``default``. Defined cases: a very long url is judged whole; a null url or one
 without ``://`` has empty host and path and takes the default; equal urls get equal rows; an empty table gives an empty
 result; other columns are ignored by the query.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,9 @@ RULES = [
 ]
 DEFAULT = "allow"
 BOUNDARY, ANY = 256, -1
+HOST_END, PATH_END = re.compile("[/?#]"), re.compile("[?#]")
+#: A table of characters by URLs has at most so many cells; longer URLs are simulated one by one.
+CELLS, LONG = 1 << 20, 4096
 UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -37,8 +43,8 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     _, mark, rest = (url or "").partition("://")
     if not mark:
         return "", ""
-    at = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
-    end = next((i for i in range(at, len(rest)) if rest[i] in "?#"), len(rest))
+    at = found.start() if (found := HOST_END.search(rest)) else len(rest)
+    end = found.start() if (found := PATH_END.search(rest, at)) else len(rest)
     return rest[:at].translate(UPPER_TO_LOWER), rest[at:end]
 
 
@@ -74,22 +80,41 @@ class Automaton:
 
     def matches(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, globs) of bool: which globs match which whole texts of character codes."""
+        out = np.zeros((len(texts), len(self.ends)), bool)
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
+        at = int((lengths > LONG).sum())
+        for i in order[:at]:
+            out[i] = self.match_long(texts[i])
+        while at < len(order):
+            own = order[at : at + max(1, CELLS // max(1, int(lengths[order[at]])))]
+            out[own] = self.match_table([texts[i] for i in own])
+            at += len(own)
+        return out
+
+    def match_long(self, text: np.ndarray) -> np.ndarray:
+        """The same automaton for one text, all words of a state in one integer."""
+        whole = lambda words: sum(int(w) << 64 * k for k, w in enumerate(words))
+        masks, loop, state = [whole(m) for m in self.mask], whole(self.loop), whole(self.start)
+        for at in range(0, len(text), LONG):
+            for code in text[at : at + LONG].tolist():
+                state = state << 1 & masks[code] | state & loop
+        return np.array([state >> 64 * word + int(bit) & 1 for word, bit in self.ends], bool)
+
+    def match_table(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Texts by descending length, one step for each position."""
+        lengths = np.array([len(t) for t in texts], np.int64)
         codes = np.zeros((int(lengths.max(initial=0)), len(texts)), np.int16)
-        for column, i in enumerate(order):
-            codes[: lengths[i], column] = texts[i]
+        for column, t in enumerate(texts):
+            codes[: lengths[column], column] = t
         state = np.broadcast_to(self.start, (len(texts), self.words)).copy()
-        alive = np.searchsorted(-lengths[order], -np.arange(1, len(codes) + 1), side="right")
+        alive = np.searchsorted(-lengths, -np.arange(1, len(codes) + 1), side="right")
         for t, n in enumerate(alive):  # texts of more than t characters come first
             now = state[:n]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
             state[:n] = (moved & self.mask[codes[t, :n]]) | (now & self.loop)
-        out = np.zeros((len(texts), len(self.ends)), bool)
-        for g, (word, bit) in enumerate(self.ends):
-            out[order, g] = (state[:, word] >> bit) & np.uint64(1)
-        return out
+        return np.stack([(state[:, word] >> bit) & np.uint64(1) for word, bit in self.ends], axis=1).astype(bool) if self.ends else np.zeros((len(texts), 0), bool)
 
 
 def canonical(host: str, path: str) -> np.ndarray:

@@ -142,3 +142,23 @@ def test_pipeline(spark, tmp_path):
     done = docs.collect()
     assert done and all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in done)
     assert 60 not in {r["doc_id"] for r in done}
+
+
+def test_long_urls(spark):
+    """Urls of a megabyte among thousands of short ones get the same verdicts, without a table as wide as the longest."""
+    import tracemalloc
+
+    globs = [[url_filter.ANY, *url_filter.canonical(h, p).tolist(), url_filter.ANY] for h, p, _ in url_filter.RULES]
+    rng = np.random.default_rng(4)
+    urls = [f"https://{'x' * int(n)}.example.org/{'es' if n % 2 else 'fr'}/{'y' * int(n)}" for n in rng.integers(1, 60, 4000)]
+    urls += ["https://a.com/de/" + "z" * (1 << 20), "https://" + "b." * (1 << 19) + "example.org/en/1", "data:" + "c" * (1 << 20)]
+    texts = [url_filter.canonical(*url_filter.host_and_path(u)) for u in urls]
+    automaton = url_filter.Automaton(globs)
+    tracemalloc.start()
+    got = automaton.matches(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    for u, row in zip(urls, got, strict=True):
+        host, path = url_filter.host_and_path(u)
+        assert row.tolist() == [(host == h or host.endswith("." + h)) and path.startswith(p) for h, p, _ in url_filter.RULES]

@@ -337,6 +337,43 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(got[0], marginal / total) and np.allclose(expected, pairs / total)
 
 
+def test_long_documents_are_walked_by_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 10, 101, 2500):
+        scores, moves = rng.normal(scale=3, size=n), rng.normal(size=(2, 2))
+        want, _ = line_crf.forward_backward(scores[None], np.array([n]), moves)
+        assert np.allclose(line_crf.long_marginals(scores, moves), want[0])
+    text = "\n".join(prose(i, i % 9) for i in range(600))
+    own, weights = line_crf.line_features(text)
+    line_crf_piece, line_crf.PIECE = line_crf.PIECE, 300
+    try:
+        w = rng.normal(size=3 * line_crf.OWN)
+        scores, lengths = line_crf.line_scores(text, w)
+    finally:
+        line_crf.PIECE = line_crf_piece
+    assert np.allclose(scores, line_crf.with_neighbours(own) @ w, atol=1e-4) and np.array_equal(lengths, weights)
+
+
+def test_very_many_lines():
+    """A million empty lines, and a text of 20 MB, within a bound of memory and of time."""
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = line_crf.Model(rng.normal(size=3 * line_crf.OWN), np.eye(2), np.ones(4))
+    for text, most in (("\n" * 1_000_000, 300 << 20), ("some words of a line, and more\n" * 650_000, 400 << 20), ("word " * 4_000_000, 600 << 20)):
+        began = time.perf_counter()
+        tracemalloc.start()
+        assert 0 <= model.scores([text, "short"])[0] <= 1
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most and time.perf_counter() - began < 60
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(4)
     rows, labels = [], []

@@ -1,13 +1,17 @@
 """Secret scans: three base patterns, and zstandard novelty primed with an identifier dictionary.
 
-A candidate of the novelty measure is a string of letters, digits and ``+/_=-`` that mixes letters and digits and
-follows a sensitive word closely. Its marginal cost is the compressed size of its surrounding text with it less the
-size without it, both with a zstandard dictionary of common code identifiers; other copies of the candidate are taken
-out of the surrounding text first, so a secret that repeats costs what a single one does. A candidate that costs at least
-``NOVEL`` bytes for each of its own is incompressible there, and is reported with kind ``novel`` unless it overlaps
-a base span, which always stays.
-
-Defined cases: a null text counts as empty (no spans, the digest of nothing); offsets are code points, ends are
+A candidate of the novelty measure is a string of at least ``LEAST`` letters, digits and ``+/_=-`` that mixes letters and
+digits and starts at most ``WINDOW`` characters behind a sensitive word or a span already reported, also on the lines
+below; every such string in the window is measured. Its marginal cost is the compressed size of its surrounding text with
+it less the size without it, both with a zstandard dictionary of common code identifiers; other copies of the candidate
+are taken out of the surrounding text first, so a secret that repeats costs what a single one does. A candidate that
+costs at least ``NOVEL`` bytes for each of its own is incompressible there, and is reported with kind ``novel`` unless it
+overlaps a base span, which always stays.
+
+Limits, by choice: strings of letters only or digits only are never candidates, as zstandard stores a short unknown word
+as it stores a key, and every long word would be one; shorter strings and those far from a sensitive word neither.
+
+Defined cases: a very long text is scanned whole; a null text counts as empty (no spans, the digest of nothing); offsets are code points, ends are
 exclusive; rows are independent, so ties, repeats, order and other columns do not matter.
 """
 
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +32,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so this drops just the shorter ones
 KINDS = ("assign", "access", "hex", "novel")
 
-SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential|bearer|private_?key|signature|auth)[^\n]{0,24}?\b([A-Za-z0-9+/_=-]{16,})", re.IGNORECASE | re.ASCII)
-CONTEXT, NOVEL = 160, 0.62
+SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential|bearer|private[ _]?key|signature|auth", re.IGNORECASE | re.ASCII)
+LEAST, WINDOW, CONTEXT, NOVEL = 16, 64, 160, 0.62
+STRING = re.compile(rf"\b[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
 #: A piece of a copy of so many characters counts as one.
 COPY = 4
 #: Identifiers and code that a candidate is expected to look like.
@@ -74,15 +80,36 @@ class Novelty:
         return (len(self.compress(full)) - len(self.compress(without))) / len(candidate)
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = {}
-        for m in SENSITIVE.finditer(text):
-            start, end = m.span(1)
-            if m[1].isalpha() or m[1].isdigit() or any(a < end and start < b for a, _, b in base):
-                continue
-            before, after = surroundings(text, start, end)
-            if self.marginal(before, m[1], after) >= NOVEL:
-                found[start] = (start, 3, end)
-        return list(found.values())
+        out, free, known = [], 0, united(base)  # no string starts again before ``free``
+        for word in SENSITIVE.finditer(text):
+            at, limit = max(free, word.end()), word.end() + WINDOW
+            while at <= limit and (m := STRING.search(text, at, limit + LEAST)):
+                start, end = STRING.match(text, m.start()).span()  # whole, beyond the window too
+                at = free = end
+                candidate = text[start:end]
+                place = bisect(known, (end,)) - 1
+                if place >= 0 and known[place][1] > start:
+                    limit = max(limit, end + WINDOW)
+                elif not candidate.isalpha() and not candidate.isdigit() and self.marginal(*beside(text, start, end)) >= NOVEL:
+                    out.append((start, 3, end))
+                    limit = max(limit, end + WINDOW)
+        return out
+
+
+def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Sorted (start, end) that cover the sorted ``spans`` and do not overlap."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def beside(text: str, start: int, end: int) -> tuple[str, str, str]:
+    before, after = surroundings(text, start, end)
+    return before, text[start:end], after
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -1,15 +1,17 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates, with DataFrame functions only.
 
-The whole text, its paragraphs and its lines are the units. A unit and a template are sets of word bigrams (words are
-runs of a-z and 0-9 of the lower-cased text); their Dice coefficient is 2 * common / (size + size). A coefficient of d or
-more needs a unit of between d / (2 - d) and (2 - d) / d times the template's size, so other templates are pruned by
-size before anything is intersected.
+The whole text, its paragraphs, its lines and its sentences are the units; line breaks may have a carriage return. A unit
+and a template are sets of word bigrams (words are runs of a-z and 0-9 of the lower-cased text); their Dice coefficient
+is 2 * common / (size + size). A coefficient of d or more needs a unit of between d / (2 - d) and (2 - d) / d times the
+template's size, so other templates are pruned by size before anything is intersected, and a unit with more distinct words
+than the largest template allows bigrams is dropped before its bigrams are made, as long texts and paragraphs are.
 
 Scale: one projection of each row, without a shuffle, a join or Python; the templates are a fixed literal.
 
 Defined cases: a null, empty or blank text has no match (null licence, dice null, 0 hits); ties go to the licence that
-sorts first; rows are independent, so repeats and order do not matter; an empty table gives an empty result; other
-columns are ignored by the query.
+sorts first; a very long text is read whole; rows are independent, so repeats and order do not matter; an empty table
+gives an empty result; a column of the input named licence, dice, licences or n_hits gives way, others stay, whatever
+their names; the query ignores them.
 """
 
 from __future__ import annotations
@@ -55,24 +57,29 @@ def _literal(templates: dict[str, str], dice: float) -> str:
     return f"array({', '.join(rows)})"
 
 
+#: Where a text is split into units, beside the whole of it: paragraphs, lines, sentences.
+SPLITS = (r"\r?\n[ \t]*\r?\n", r"\r?\n", r"[.!?][\x22\x27)]*[ \t\r\n]+")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
     """``docs`` with licence (the best), dice, licences (all, joined by commas) and n_hits (units and templates that match)."""
-    chosen = _literal(TEMPLATES if templates is None else templates, dice)
-    units = docs.withColumn("_units", F.expr(r"array_distinct(concat(array(coalesce(text, '')), split(coalesce(text, ''), '\n[ \t]*\n'), split(coalesce(text, ''), '\n')))"))
-    words = units.withColumn("_words", F.expr("filter(transform(_units, u -> regexp_extract_all(lower(u), '[a-z0-9]+', 0)), w -> size(w) > 1)"))
+    templates = TEMPLATES if templates is None else templates
+    chosen, most = _literal(templates, dice), max([0, *(len(bigrams(t)) for t in templates.values())]) * (2 - dice) / dice
+    text, own = "coalesce(text, '')", ["licence", "dice", "licences", "n_hits"]
+    splits = ", ".join(f"split({text}, r'{x}')" for x in SPLITS)
+    units = common.packed(docs.drop(*own), "text").withColumn("_units", F.expr(f"array_distinct(concat(array({text}), {splits}))"))
+    words = units.withColumn("_words", F.expr(f"filter(transform(_units, u -> regexp_extract_all(lower(u), '[a-z0-9]+', 0)), w -> size(w) > 1 and size(array_distinct(w)) <= {most + 1}D)"))
     grams = words.withColumn("_grams", F.expr("transform(_words, w -> array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b))))"))
     pairs = f"""flatten(transform(_grams, g -> transform(filter({chosen}, t -> size(g) >= t.low and size(g) <= t.high),
         t -> named_struct('less', -2D * size(array_intersect(g, t.grams)) / (size(g) + t.n), 'name', t.name))))"""
     hits = grams.withColumn("_hits", F.expr(f"filter({pairs}, h -> h.less <= -{dice}D)"))
-    out = hits.withColumns(
-        {
-            "licence": F.expr("array_min(_hits).name"),
-            "dice": F.expr("-array_min(_hits).less"),
-            "licences": F.expr("array_join(array_sort(array_distinct(transform(_hits, h -> h.name))), ',')"),
-            "n_hits": F.expr("cast(size(_hits) as long)"),
-        }
+    return hits.select(
+        *[F.col(f"_row.`{c}`") for c in docs.columns if c not in own],
+        F.expr("array_min(_hits).name").alias("licence"),
+        F.expr("-array_min(_hits).less").alias("dice"),
+        F.expr("array_join(array_sort(array_distinct(transform(_hits, h -> h.name))), ',')").alias("licences"),
+        F.expr("cast(size(_hits) as long)").alias("n_hits"),
     )
-    return out.drop("_units", "_words", "_grams", "_hits")
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +88,12 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     values = ", ".join(f"('{name}', '{gram}')" for name, text in sorted(TEMPLATES.items()) for gram in bigrams(text))
+    splits = ", ".join(f"regexp_split_to_array(coalesce(text, ''), '{x}')" for x in SPLITS)
     return f"""
 WITH t(name, gram) AS (VALUES {values}),
 sizes AS (SELECT name, count(*) AS n FROM t GROUP BY name),
 units AS (
-  SELECT DISTINCT doc_id, unnest(list_concat([coalesce(text, '')], list_concat(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n'), string_split(coalesce(text, ''), chr(10))))) AS unit
+  SELECT DISTINCT doc_id, unnest(list_concat([coalesce(text, '')], {splits})) AS unit
   FROM documents
 ),
 words AS (SELECT doc_id, unit, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM units),

@@ -204,7 +204,7 @@ def test_licences(docs, none):
     for r in licences.scan(docs).collect():
         text = r["text"] or ""
         hits = []
-        for unit in dict.fromkeys([text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]):
+        for unit in dict.fromkeys([text, *(part for x in licences.SPLITS for part in re.split(x, text))]):
             own = set(licences.bigrams(unit))
             for name, template in licences.TEMPLATES.items():
                 other = set(licences.bigrams(template))
@@ -216,6 +216,22 @@ def test_licences(docs, none):
     assert licences.scan(none).count() == 0
 
 
+def test_licences_in_longer_lines(spark):
+    """Notices behind other sentences, wrapped or in texts with carriage returns; clashing columns; a very long text."""
+    wrapped = licences.TEMPLATES["isc"].replace(" and/or ", "\r\nand/or ").replace(" without ", "\r\nwithout ")
+    rows = [
+        ("all-rights-reserved", "Copyright (c) 2020 Acme Inc. All rights reserved."),
+        ("gpl-3.0", "Seven words of prose stand before it. " + licences.TEMPLATES["gpl-3.0"] + " More prose here."),
+        ("isc", "A title\r\n\r\n" + wrapped + "\r\n\r\nAnd a text that goes on"),
+        ("mit", "word and other words " * 200_000 + ".\n" + licences.TEMPLATES["mit"]),
+        (None, "A licence of its own"),
+    ]
+    df = spark.createDataFrame([(n, t, "u", "w") for n, t in rows], "want string, text string, _units string, dice string")
+    out = licences.scan(df)
+    assert out.columns == ["want", "text", "_units", "licence", "dice", "licences", "n_hits"]
+    assert all(r["licence"] == r["want"] and r["_units"] == "u" for r in out.collect())
+
+
 def test_licence_templates_find_themselves(spark):
     df = spark.createDataFrame([(n, t) for n, t in licences.TEMPLATES.items()], "doc_id string, text string")
     assert all(r["licence"] == r["doc_id"] and r["dice"] == 1 for r in licences.scan(df).collect())

@@ -144,6 +144,34 @@ def test_pipeline(spark, tmp_path):
     assert 60 not in {r["doc_id"] for r in done}
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, further columns with names of the operators, repeated ids, equal rows, nulls and a long text."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int, k1 string, size string, _good int"
+    long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
+    rows = [(i, f"Document {i} says that number {i * 37} of the list is not the number {i} of another.", "en", "a" if i % 2 else None, 1) for i in range(40)]
+    rows += [rows[3], (3, "Another text with the same id as one that came before it.", "en", "a", 1), (None, None, None, None, None), (41, "", "en", "b", 0), (42, long, "en", "b", len(long))]
+    rows = [(*r, 7, "k", "s", 8) for r in rows]
+    for name, own in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(own, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs, seen = common.table(spark, folder, "documents"), {}
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            docs = common.cut(function(spark, docs, folder))
+            assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+            seen[stage] = docs.collect()
+        assert all({(r["_row"], r["k1"], r["size"], r["_good"]) for r in out} <= {(7, "k", "s", 8)} for out in seen.values())
+        done = corpus_pipeline.run(spark, folder).collect()
+        assert all(r["round_trip"] for r in done)
+        if own:
+            assert len(seen["quality classifier"]) == len(rows) and len(seen["minhash near-dedup"]) == len(rows) - 1
+            assert Counter(r["doc_id"] for r in seen["minhash near-dedup"])[3] == 2 and 42 in {r["doc_id"] for r in done}
+        else:
+            assert done == [] and not any(seen.values())
+
+
 def test_long_urls(spark):
     """Urls of a megabyte among thousands of short ones get the same verdicts, without a table as wide as the longest."""
     import tracemalloc

@@ -2,7 +2,12 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes
 as Parquet into the shared checkpoint folder and reads again as the documents of the next stage. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. What a stage wrote for itself, and its input, is deleted once its result is written.
+
+Defined cases, for every stage: null, empty and blank texts pass all stages but the mix, which takes words and so drops
+documents without any; very long texts pass whole; rows that repeat a doc_id are documents of their own, unless the near
+duplicates' stage finds them alike; without labels no document is bad; an empty table gives an empty result with the same
+columns; further columns stay, whatever their names, up to the last stage, which names its columns.
 """
 
 from __future__ import annotations
@@ -46,5 +51,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        with common.scratch() as kept:
+            made = common.cut(stage(spark, docs, sf_dir))
+            kept.append(made)
+        common.drop(docs)
+        docs = made
     return docs

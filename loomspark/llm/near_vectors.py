@@ -1,21 +1,23 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Both halves of the unit vectors have a codebook of their own, fitted on a bounded sample; the pairs of codes form the
-grid of cells. Every vector lives in its nearest cell. A query walks the grid by the multi-sequence algorithm, cells in
-the order of t1**2 + t2**2, where t is how far the half would have to move to reach the other code's region, and stops
-when less than ``MISS`` of the links at the threshold can be left: a link's difference vector has length
-sqrt(2 - 2 c), and the part of it along two given directions is beyond that distance with probability
-exp(-(t1**2 + t2**2) / (2 s**2)), s**2 = (2 - 2 c) / dimension. Pairs met this way are verified in double precision.
-
-Scale: the number of codes grows with the square root of the rows, so that cells keep about ``CELL`` rows. Residents
-and visitors of a cell are packed into blocks of at most about ``BLOCK`` vectors and met block by block as matrix
-products, so no pair ever becomes a row: a block reports the links of each vector as a count and joins linked vectors
-to their first partner only. A cell that holds a third of all rows is many blocks.
+grid of cells. Every vector lives in its nearest cell, and a query walks the grid by the multi-sequence algorithm: cells in
+the order of t1**2 + t2**2, where t is how far a half would have to move to be nearer to the other code than to its own.
+The two ends of a link are at most sqrt(2 - 2 c) apart, so a cell beyond that holds none, and the walk ends there. The
+target is a recall of 1: only rounding, against which the limit has a margin, could lose a link. Pairs met this way are
+verified in double precision.
+
+Scale: equal vectors are one node with a weight, so that a common vector is compared once. The number of codes grows with
+the square root of the nodes, so that cells keep about ``CELL_BYTES`` of them; a cell is one task's work, and one of more
+than twice ``UNIT_BYTES`` is dealt to units of residents by residents and visitors, each of about so many bytes. A vector crosses the shuffle once for each cell
+that it visits, as it was given. No pair ever becomes a row: a unit reports the number of links of each vector, and edges
+that join what it links, at most one for each vector. The links within one cluster of different vectors are quadratic
+work, spread over its units.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component link with nothing and are
 their own components; only vectors of one dimension are compared; rows that repeat a vec_id are vectors of their own,
-which link with each other if they are near; a null vec_id is kept and takes no part; an empty table gives an empty
-result; other columns are ignored.
+which link with each other if they are near, and share a component; a null vec_id is kept and takes no part; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, vectors
 
-THRESHOLD, MISS, CELL, BLOCK, SAMPLE, ROUNDS, SEED = 0.95, 1e-5, 1024, 512, 8192, 8, 11
+THRESHOLD, CELL_BYTES, UNIT_BYTES, ROUNDS, SEED = 0.95, 4 << 20, 8 << 20, 8, 11
+#: Rows and bytes of the sample that the codebooks are fitted on; rows of a unit that are compared at once.
+SAMPLE, SAMPLE_BYTES, CHUNK = 8192, 32 << 20, 512
 
 
 def codebook(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -47,19 +51,19 @@ def codebook(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def gaps(half: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """(rows, codes): how far each row must move to be nearer to the code than to its own; 0 for its own."""
+    """(rows, codes): how far each row must move to be nearer to the code than to its own, squared; 0 for its own."""
     far = ((half[:, None, :] - book[None]) ** 2).sum(axis=2) if len(book) * half.size < 1 << 22 else (half**2).sum(axis=1)[:, None] - 2 * half @ book.T + (book**2).sum(axis=1)
     own = far.argmin(axis=1)
     apart = np.sqrt(((book[:, None] - book[None]) ** 2).sum(axis=2))
-    out = (far - far.min(axis=1)[:, None]) / (2 * np.maximum(apart[own], 1e-12))
-    out[np.arange(len(half)), own] = 0.0
-    return out
+    t = (far - far.min(axis=1)[:, None]) / (2 * np.maximum(apart[own], 1e-12))
+    t[np.arange(len(half)), own] = 0.0
+    return t**2
 
 
 def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float):
-    """Cells (i, j) in ascending first[i]**2 + second[j]**2, while that is at most ``limit``."""
+    """Cells (i, j) in ascending first[i] + second[j], while that is at most ``limit``."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    x, y = first[a] ** 2, second[b] ** 2
+    x, y = first[a], second[b]
     queue, seen = [(x[0] + y[0], 0, 0)], {(0, 0)}
     while queue:
         cost, i, j = heapq.heappop(queue)
@@ -73,44 +77,59 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float):
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, rows: int):
+    def __init__(self, sample: np.ndarray, rows: int, threshold: float = THRESHOLD):
         self.dim = sample.shape[1]
         self.split = max(1, self.dim // 2)
-        k = max(2, math.ceil(math.sqrt(rows / CELL)))
+        k = max(2, math.ceil(math.sqrt(rows * 8 * self.dim / CELL_BYTES)))
         self.books = [codebook(half, min(k, len(half)), SEED + i) for i, half in enumerate((sample[:, : self.split], sample[:, self.split :]))]
-        self.limit = 2 * math.log(1 / MISS) * (2 - 2 * THRESHOLD) / self.dim
+        self.limit = (2 - 2 * threshold) * (1 + 1e-6) + 1e-9
 
     def cells(self, units: np.ndarray) -> list[list[int]]:
-        """For each vector its own cell, and then those that it visits: of two cells the one with the larger number is
-        visited by vectors of the other, so that a pair is met once."""
-        first, second = gaps(units[:, : self.split], self.books[0]), gaps(units[:, self.split :], self.books[1]) if self.dim > 1 else np.zeros((len(units), 1))
+        """For each vector its own cell, and then those that it visits: of two cells one is visited by the vectors of the
+        other, so that a pair is met once; which one depends on both numbers, so that no cell gets all the visits."""
+        first, second = gaps(units[:, : self.split], self.books[0]), gaps(units[:, self.split :], self.books[1])
         out = []
         for p, q in zip(first, second, strict=True):
-            walk = [i * len(second[0]) + j for i, j in multi_sequence(p, q, self.limit)]
-            out.append([walk[0], *(c for c in walk[1:] if c > walk[0])])
+            own, *others = (i * len(q) + j for i, j in multi_sequence(p, q, self.limit))
+            out.append([own, *(c for c in others if (own < c) == ((own + c) % 2 == 0))])
         return out
 
 
-def _units(rows):
-    kinds = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary())])
-    for batch in rows:
-        ids, numbers, usable, found = batch.column("vec_id").to_pylist(), batch.column("row").to_pylist(), *vectors.matrix(batch.column("embedding"))
-        units: list = [None] * len(ids)
-        for i, v in zip(np.flatnonzero(usable), found, strict=True):
-            big = np.abs(v).max()
-            if ids[i] is not None and big > 0:
-                v = v / big
-                units[i] = v / np.linalg.norm(v)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array([None if u is None else len(u) for u in units], pa.int32()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary())], schema=kinds)
+def unit_of(v: np.ndarray) -> np.ndarray | None:
+    v = v.astype(np.float64)
+    big = np.abs(v).max(initial=0)
+    if not big > 0:
+        return None
+    v = v / big
+    return v / np.linalg.norm(v)
+
+
+def _units(kind: type):
+    """(row, vec_id, embedding) -> the vector's bytes as given, and a 128-bit digest of its unit vector."""
+
+    def run(rows):
+        for batch in rows:
+            ids, numbers, usable, found = batch.column("vec_id").to_pylist(), batch.column("row").to_pylist(), *vectors.matrix(batch.column("embedding"))
+            out: list[list] = [[None] * len(ids) for _ in range(4)]
+            for i, v in zip(np.flatnonzero(usable), found, strict=True):
+                if ids[i] is not None and (unit := unit_of(v)) is not None:
+                    k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(unit.tobytes()), np.int64).tolist()
+                    for column, x in zip(out, (len(v), k1, k2, v.astype(kind).tobytes()), strict=True):
+                        column[i] = x
+            arrays = [pa.array(x, t) for x, t in zip([numbers, ids, *out], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "vec_id", "dim", "k1", "k2", "vector"])
+        common.released()
+
+    return run
 
 
-def _routed(indexes: dict[int, Index]):
-    """(row, vec_id, dim, unit) -> one row for each cell that the vector lives in (guest 0) or visits (guest 1)."""
+def _routed(indexes: dict[int, Index], kind: type):
+    """(node, weight, least, dim, vector) -> one row for each cell that the vector lives in (guest 0) or visits (guest 1)."""
 
     def run(rows):
         for batch in rows:
             dims = batch.column("dim").to_pylist()
-            units = [np.frombuffer(x.as_buffer(), np.float64) for x in batch.column("unit")]
+            units = [unit_of(np.frombuffer(x.as_buffer(), kind)) for x in batch.column("vector")]
             take, cells, guests = [], [], []
             for d in set(dims):
                 own = [i for i, x in enumerate(dims) if x == d]
@@ -120,88 +139,114 @@ def _routed(indexes: dict[int, Index]):
                     cells += [d << 40 | c for c in walk]
                     guests += [0] + [1] * (len(walk) - 1)
             part = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("vec_id"), part.column("dim"), part.column("unit"), pa.array(cells, pa.int64()), pa.array(guests, pa.int32())], names=["row", "vec_id", "dim", "unit", "cell", "guest"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.int64()), pa.array(guests, pa.int32())], names=[*part.schema.names, "cell", "guest"])
+        common.released()
 
     return run
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "guest": [rows["guest"].iloc[0]], "part": [rows["part"].iloc[0]], "dim": [rows["dim"].iloc[0]], "numbers": [rows["row"].to_numpy(np.int64).tobytes()], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "units": [b"".join(rows["unit"])]})
-
-
-def _linked(threshold: float):
-    """Pairs of blocks -> (row, links, vec_id, partner): counts, and an edge to the first linked partner."""
-
-    def run(rows):
-        for batch in rows:
-            numbers, links, ids, partners = [], [], [], []
-            for r in range(batch.num_rows):
-                at = {n: batch.column(n)[r] for n in batch.schema.names}
-                dim = at["dim"].as_py()
-                a, b = (np.frombuffer(at[n].as_buffer(), np.float64).reshape(-1, dim) for n in ("units", "other_units"))
-                rows_a, rows_b, ids_a, ids_b = (np.frombuffer(at[n].as_buffer(), np.int64) for n in ("numbers", "other_numbers", "ids", "other_ids"))
-                near = a @ b.T >= threshold
-                if at["same"].as_py():
-                    np.fill_diagonal(near, False)
-                for mine, mine_ids, other_ids, hit in ((rows_a, ids_a, ids_b, near), *(() if at["same"].as_py() else ((rows_b, ids_b, ids_a, near.T),))):
-                    count = hit.sum(axis=1)
-                    some = np.flatnonzero(count)
-                    numbers += mine[some].tolist()
-                    links += count[some].tolist()
-                    ids += mine_ids[some].tolist()
-                    partners += other_ids[hit[some].argmax(axis=1)].tolist()
-                # the first partner alone may leave the links of one vector in two parts: join each linked set fully
-                extra = _joined(near, ids_a, ids_b)
-                numbers += [None] * len(extra)
-                links += [0] * len(extra)
-                ids += [x for x, _ in extra]
-                partners += [y for _, y in extra]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(links, pa.int64()), pa.array(ids, pa.int64()), pa.array(partners, pa.int64())], names=["row", "links", "vec_id", "partner"])
+#: What a unit reports: links of a node, or an edge between two nodes.
+FOUND = "node long, links long, a long, b long"
+
+
+def _linked(threshold: float, kind: type):
+    """One unit, Arrow columns (node, weight, least, dim, vector, side): residents (side 1, or 2 for both sides) against
+    residents and guests (side 0 for guests, -1 for residents of other units or this one, 2)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, weight, least, side = (rows.column(c).to_numpy() for c in ("node", "weight", "least", "side"))
+        units = np.stack([unit_of(np.frombuffer(x.as_buffer(), kind)) for x in rows.column("vector")])
+        left, right = np.flatnonzero(side >= 1), np.flatnonzero(side != 1)
+        guest = side[right] == 0
+        links, parent = np.zeros(len(node), np.int64), list(range(len(node)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        other = units[right].T
+        for at in range(0, len(left), CHUNK):
+            own = left[at : at + CHUNK]
+            near = units[own] @ other >= threshold
+            near &= node[own][:, None] != node[right][None]
+            links[own] += near @ weight[right]
+            if guest.any():
+                links[right[guest]] += weight[own] @ near[:, guest]
+            for i, j in _joined(near):
+                x, y = root(own[i]), root(right[j])
+                parent[max(x, y)] = min(x, y)
+        some = np.flatnonzero(links)
+        tied = [(i, r) for i in range(len(node)) if (r := root(i)) != i and least[i] != least[r]]
+        nothing = [None] * len(tied)
+        columns = [[*node[some].tolist(), *nothing], [*links[some].tolist(), *nothing], [*[None] * len(some), *(int(least[i]) for i, _ in tied)], [*[None] * len(some), *(int(least[r]) for _, r in tied)]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["node", "links", "a", "b"])
 
     return run
 
 
-def _joined(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what ``near`` connects, at most one for each vector: by spreading the least label."""
-    if not near.any():
-        return []
-    a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-    hit = near[np.ix_(a, b)]
-    label_a = np.arange(len(a))
+def _joined(near: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) pairs that connect what ``near`` connects: each column to its first row, and of two rows that share
+    a column the later one to that column."""
+    out = []
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return out
+    hit = near[np.ix_(rows, columns)]
+    first = hit.argmax(axis=0)
+    out += [(int(rows[r]), int(c)) for r, c in zip(first, columns, strict=True)]
+    # Rows are connected through the columns they share: spread the least row over each row's columns until nothing moves.
+    label = np.arange(len(rows))
     while True:
-        label_b = np.where(hit, label_a[:, None], len(a)).min(axis=0)
-        new = np.minimum(label_a, np.where(hit, label_b[None], len(a)).min(axis=1))
-        if (new == label_a).all():
-            break
-        label_a = new
-    root = left[a]
-    edges = [(int(left[a[i]]), int(root[label_a[i]])) for i in range(len(a)) if label_a[i] != i]
-    return edges + [(int(right[b[j]]), int(root[label_b[j]])) for j in range(len(b))]
+        of_column = np.where(hit, label[:, None], len(rows)).min(axis=0)
+        best = np.where(hit, of_column[None], len(rows))
+        new = np.minimum(label, best.min(axis=1))
+        if (new == label).all():
+            return out
+        for r in np.flatnonzero(new < label):
+            out.append((int(rows[r]), int(columns[best[r].argmin()])))
+        label = new
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for ``embeddings(vec_id, embedding)``."""
+    kind = np.float32 if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
     numbered = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("row", F.monotonically_increasing_id())
-    units = common.cut(numbered.mapInArrow(_units, "row long, vec_id long, dim int, unit binary"))
-    usable = units.where("unit is not null")
-    sizes = {r["dim"]: r["rows"] for r in usable.groupBy("dim").agg(F.count("*").alias("rows")).collect()}
-    sample = usable.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("dim", "unit").collect()
+    units = common.cut(numbered.mapInArrow(_units(kind), "row long, vec_id long, dim int, k1 long, k2 long, vector binary"))
+    usable = units.where("vector is not null")
+    nodes = usable.groupBy("k1", "k2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    nodes = common.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    sizes = {r["dim"]: r["rows"] for r in nodes.groupBy("dim").agg(F.count("*").alias("rows")).collect()}
+    rows = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(sizes, default=1))))
+    sample = nodes.orderBy(F.xxhash64("k1"), "k2").limit(rows).select("dim", "vector").collect()
     indexes = {}
     for dim in {r["dim"] for r in sample}:
-        indexes[dim] = Index(np.stack([np.frombuffer(r["unit"], np.float64) for r in sample if r["dim"] == dim]), sizes[dim])
-    routed = usable.mapInArrow(_routed(indexes), "row long, vec_id long, dim int, unit binary, cell long, guest int")
-    routed = common.cut(routed)
-    shape = routed.groupBy("cell", "guest").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = routed.join(shape, ["cell", "guest"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
-    blocks = common.cut(dealt.groupBy("cell", "guest", "part").applyInPandas(_block, "cell long, guest int, part long, dim int, numbers binary, ids binary, units binary"))
-    own = blocks.where("guest = 0")
-    other = blocks.select("cell", F.col("guest").alias("other_guest"), F.col("part").alias("other_part"), F.col("numbers").alias("other_numbers"), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"))
-    met = own.join(other, "cell").where("other_guest = 1 or other_part >= part").withColumn("same", F.expr("other_guest = 0 and other_part = part")).drop("guest", "part", "other_guest", "other_part", "cell")
-    found = common.cut(met.mapInArrow(_linked(threshold), "row long, links long, vec_id long, partner long"))
-    labels = common.components(found.select(F.col("vec_id").alias("a"), F.col("partner").alias("b")))
-    counts = found.where("row is not null").groupBy("row").agg(F.sum("links").alias("n_links"))
-    out = units.select("row", "vec_id").join(counts, "row", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    component = F.coalesce("label", "vec_id")
+        indexes[dim] = Index(np.stack([unit_of(np.frombuffer(r["vector"], kind)) for r in sample if r["dim"] == dim]), sizes[dim], threshold)
+    slim = nodes.select("node", "weight", "least", "dim", "vector")
+    routed = common.cut(slim.mapInArrow(_routed(indexes, kind), "node long, weight long, least long, dim int, vector binary, cell long, guest int"))
+    # Only cells that are too large for one unit are listed.
+    size = F.lit(8) * F.col("dim") / UNIT_BYTES
+    shape = routed.groupBy("cell", "dim").agg(F.count(F.when(F.col("guest") == 0, 1)).alias("own"), F.count("*").alias("all")).where(F.col("all") * size > 2)
+    shape = shape.select("cell", F.ceil(F.col("own") * size).alias("wide"), F.ceil(F.col("all") * size).alias("high"))
+    dealt = routed.join(shape, "cell", "left").withColumns({"x": F.pmod(F.xxhash64("node"), F.col("wide")), "y": F.pmod(F.xxhash64("node", F.lit(1)), F.col("high"))})
+    columns = ["cell", "node", "weight", "least", "vector"]
+    each = lambda by: F.explode(F.sequence(F.lit(0).cast("long"), F.col(by) - 1))
+    whole = dealt.where("wide is null").select(*columns, F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.when(F.col("guest") == 0, 2).otherwise(0).alias("side"))
+    large = dealt.where("wide is not null")
+    ahead = large.where("guest = 0").drop("y").withColumn("y", each("high")).select(*columns, "x", "y", F.lit(1).alias("side"))
+    behind = large.drop("x").withColumn("x", each("wide")).select(*columns, "x", "y", F.when(F.col("guest") == 0, -1).otherwise(0).alias("side"))
+    met = whole.unionByName(ahead).unionByName(behind)
+    found = common.cut(met.groupBy("cell", "x", "y").applyInArrow(_linked(threshold, kind), FOUND))
+    counts = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    ids = usable.select("row", "vec_id", "k1", "k2").join(nodes.select("k1", "k2", "node", "least", "weight"), ["k1", "k2"])
+    # A vec_id with several vectors joins their components.
+    several = ids.groupBy("vec_id").agg(F.min("least").alias("b"), F.max("least").alias("far")).where("b <> far").select("vec_id", "b")
+    edges = found.where("a is not null").select("a", "b").unionByName(ids.join(several, "vec_id").select(F.col("least").alias("a"), "b"))
+    labels = common.components(edges)
+    told = ids.join(counts, "node", "left").join(labels.withColumnRenamed("node", "least"), "least", "left")
+    told = told.select("row", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "least").alias("component_id"))
+    out = units.select("row", "vec_id").join(told, "row", "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 

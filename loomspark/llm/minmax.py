@@ -9,7 +9,7 @@ probability of at most ``MISS``: 4 for 0.85 (missed with 0.00004) and 3 for 0.8
 Documents with the same shingle set are one node, told apart by 128 bits. Within a bucket not all pairs are expanded:
 members are verified against one leader, verified links are merged into components, and only buckets that still hold
 several components go on. There, members outside the bucket's main component become leaders, about ``LEADERS`` in the
-first round and twice as many in each further one, until every member has joined the main component or has been
+first round and four times as many in each further one, until every member has joined the main component or has been
 compared with all others; buckets of at most ``SMALL`` members finish at once. No candidate is capped or dropped. Links
 are confirmed on full shingle sets.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, PERMUTATIONS, MISS, SEED = 5, 128, 1e-4, 20260
-SMALL, LEADERS, UNIT, UNIT_SHINGLES, SALTS = 32, 8, 128, 1 << 20, 16
+SMALL, LEADERS, UNIT, UNIT_SHINGLES, SALTS = 32, 16, 128, 1 << 20, 16
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -185,9 +185,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = signed.where("s1 is not null").groupBy("s1", "s2").agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min(order).alias("row"))
     nodes = common.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("node").alias("leader")).where("size > 1")
-    members = rows.join(buckets.select("bucket", "size", "leader", parts(F.col("size"), F.col("total")).alias("high")), "bucket")
-    members = common.cut(members.select("bucket", "node", "n", "size", "high", _part("high").alias("y"), (F.col("node") == F.col("leader")).alias("tested")))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min(F.struct("node", "n")).alias("leader")).where("size > 1")
+    led = rows.join(buckets.select("bucket", "size", "leader", parts(F.col("size"), F.col("total")).alias("high")), "bucket")
+    led = common.cut(led.select("bucket", "node", "n", "size", "high", _part("high").alias("y"), (F.col("node") == F.col("leader.node")).alias("tested"), "leader"))
+    members = led.drop("leader")
     # The full set of each node that shares a bucket, from the text of its first row: a text is moved once, by a key
     # that copies do not share.
     wanted = members.select("node").distinct().join(nodes.select("node", "row.k1", "row.k2"), "node")
@@ -198,8 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     def pairs_of_first_leaders() -> DataFrame:
         """Each member against its bucket's first leader, each pair once, whatever the buckets that it shares; a leader's
         members are dealt to units, so that its set goes to each unit and not to each pair."""
-        lead = members.where("tested").select("bucket", "high", F.col("node").alias("b"), F.col("n").alias("m")).withColumn("y", _every("high")).drop("high")
-        near = members.where("not tested").join(lead, ["bucket", "y"]).where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+        near = led.where("not tested").select("node", "n", F.col("leader.node").alias("b"), F.col("leader.n").alias("m")).where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         near = common.cut(near.groupBy(F.col("node").alias("a"), "b").agg(F.first("n").alias("n"), F.first("m").alias("m")))
         units = near.groupBy("b").agg(F.count("*").alias("many"), F.sum("n").alias("total"), F.first("m").alias("m")).select("b", "m", parts(F.col("many"), F.col("total")).alias("units"))
         low = near.withColumn("salt", F.pmod(F.xxhash64("a", F.lit(3)), F.lit(SALTS))).join(units.select("b", "units").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1)))), ["b", "salt"])
@@ -210,11 +210,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     def pairs_of(leaders: DataFrame, members: DataFrame) -> DataFrame:
         """Leaders against the members of their buckets in units of at most about ``UNIT`` members and ``UNIT`` leaders:
         each full set goes once to each unit, not once to each pair."""
-        shape = leaders.groupBy("bucket").agg(parts(F.count("*"), F.sum("n")).alias("wide"), F.first("high").alias("high"))
-        columns = ["bucket", "node", "label", "n"]
-        low = members.join(shape.withColumn("y", _every("high")).drop("high"), ["bucket", "y"]).withColumn("x", _every("wide")).select(*columns, "x", "y", F.lit(0).alias("side"))
-        lead = leaders.drop("high").join(shape.withColumn("y", _every("high")), ["bucket", "y"]).withColumn("x", _part("wide")).drop("y").withColumn("y", _every("high")).select(*columns, "x", "y", F.lit(1).alias("side"))
-        full = low.union(lead).join(sets, "node").select("bucket", "x", "y", "side", "node", "label", "n", "full")
+        columns = ["bucket", "node", "label", "n", "x", "y"]
+        low = members.withColumn("x", _every("wide")).select(*columns, F.lit(0).alias("side"))
+        lead = leaders.withColumn("x", _part("wide")).withColumn("y", _every("high")).select(*columns, F.lit(1).alias("side"))
+        full = low.union(lead).join(sets, "node").select(*columns, "side", "full")
         return full.groupBy("bucket", "x", "y").applyInArrow(_compared(percent), "a long, b long")
 
     links = common.cut(pairs_of_first_leaders())
@@ -223,18 +222,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     while True:
         # Links that are still unknown join two components, so one of their ends lies outside the bucket's main component.
         known = common.cut(members.join(labels, "node"))
-        main = known.groupBy("bucket", "label").agg(F.count("*").alias("many"), F.sum(F.when(~F.col("tested"), 1).otherwise(0)).alias("left"), F.first("high").alias("high"))
-        main = main.groupBy("bucket").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.max_by("left", F.struct("many", "label")).alias("of_main"), F.sum("left").alias("left"), F.first("high").alias("high"))
-        # ``left``: members outside the main component that no leader has been; a bucket without them is done
-        still = main.select("bucket", "main", (F.col("left") - F.col("of_main")).alias("left"), "high").where("left > 0")
-        members = common.cut(known.join(still.withColumn("y", _every("high")).drop("high"), ["bucket", "y"]))
+        free = F.when(~F.col("tested"), F.col("n"))
+        main = known.groupBy("bucket", "label").agg(F.count("*").alias("many"), F.count(free).alias("left"), F.sum(free).alias("total"), F.first("high").alias("high"))
+        biggest = F.max(F.struct("many", "label", "left", F.coalesce("total", F.lit(0)).alias("total")))
+        main = main.groupBy("bucket").agg(biggest.alias("main"), F.sum("left").alias("left"), F.sum("total").alias("total"), F.sum("many").alias("size"), F.first("high").alias("high"))
+        # ``left``: members outside the main component that no leader has been; a bucket without them is done. About
+        # ``leaders`` of them are next, chosen by a hash; all, where they are no more than that.
+        left, share = F.col("left") - F.col("main.left"), F.least(F.lit(1.0), 1.25 * leaders / F.col("left"))
+        still = main.withColumns({"left": left, "total": F.col("total") - F.col("main.total")}).where("left > 0")
+        wide = F.when(F.col("size") <= SMALL, F.lit(1)).otherwise(parts(F.col("left") * share, F.col("total") * share)).cast("long")
+        still = still.select("bucket", F.col("main.label").alias("main"), "left", wide.alias("wide"), _every("high").alias("y"))
+        members = common.cut(known.join(still, ["bucket", "y"]))
         if members.isEmpty():
             break
-        # About ``leaders`` of them are next, chosen by a hash, and one for certain.
         chance = F.pmod(F.xxhash64("node", "bucket", F.lit(leaders)), F.lit(1 << 20)) * F.col("left") < F.lit(leaders << 20)
-        outside = members.where("not tested and label <> main")
-        sure = outside.groupBy("bucket").agg(F.min("node").alias("sure"), F.first("high").alias("high")).withColumn("y", _every("high")).drop("high")
-        chosen = common.cut(outside.join(sure, ["bucket", "y"]).where((F.col("size") <= SMALL) | chance | (F.col("node") == F.col("sure"))).drop("sure"))
+        chosen = common.cut(members.where("not tested and label <> main").where((F.col("size") <= SMALL) | chance))
         found = common.cut(pairs_of(chosen, members).distinct())
         # new links join components; only these are merged further
         ends = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
@@ -243,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         labels = common.cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         members = members.where(F.col("size") > SMALL).join(chosen.select("bucket", "node", F.lit(True).alias("now")), ["bucket", "node"], "left")
         members = members.select("bucket", "node", "n", "size", "high", "y", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
-        leaders *= 2
+        leaders *= 4
     of_node = nodes.select("node", "s1", "s2", "row").join(labels, "node", "left").select("s1", "s2", "row", F.coalesce("label", "node").alias("label"))
     least = of_node.groupBy("label").agg(F.min("row").alias("least"))
     ids = of_node.join(least, "label").select("s1", "s2", F.col("label").alias("near_group"), F.col("least").alias("least"))

@@ -46,21 +46,49 @@ def test_multi_sequence_order():
     a, b = rng.random(7), rng.random(5)
     a[2] = b[3] = 0
     got = list(near_vectors.multi_sequence(a, b, 0.8))
-    want = sorted((a[i] ** 2 + b[j] ** 2, i, j) for i in range(7) for j in range(5) if a[i] ** 2 + b[j] ** 2 <= 0.8)
-    assert [a[i] ** 2 + b[j] ** 2 for i, j in got] == pytest.approx([w[0] for w in want])
+    want = sorted((a[i] + b[j], i, j) for i in range(7) for j in range(5) if a[i] + b[j] <= 0.8)
+    assert [a[i] + b[j] for i, j in got] == pytest.approx([w[0] for w in want])
 
 
-def test_index_recall_against_brute_force():
-    """Links in uniform noise around many bases, with more codes than the small tables get."""
+@pytest.mark.parametrize("power", [0.0, 1.0, 1.5])
+def test_index_recall_against_brute_force(power):
+    """Links around many bases, with more codes than the small tables get: in even noise, and in noise and bases whose
+    spread falls with the component, as it does in trained embeddings."""
     rng = np.random.default_rng(3)
-    base = rng.normal(size=(400, 64))
-    x = np.repeat(base, 5, axis=0) + rng.normal(scale=0.2, size=(2000, 64))
+    scale = np.arange(1.0, 65.0) ** -power
+    base = rng.normal(size=(400, 64)) * scale
+    x = np.repeat(base, 5, axis=0) + rng.normal(scale=0.2, size=(2000, 64)) * scale
     x /= np.linalg.norm(x, axis=1)[:, None]
-    index = near_vectors.Index(x[::2], 16 * near_vectors.CELL)
+    index = near_vectors.Index(x[::2], 64 * near_vectors.CELL_BYTES // 512)
+    assert [len(b) for b in index.books] == [8, 8]
     cells = index.cells(x)
     a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
     met = sum(cells[i][0] in cells[j] or cells[j][0] in cells[i] for i, j in zip(a, b, strict=True))
-    assert len(a) > 500 and met / len(a) >= 0.999
+    assert len(a) > 500 and met == len(a)
+
+
+def test_near_vectors_in_units(spark, monkeypatch):
+    """A cell of many units, with equal vectors, guests and a chain of links, by brute force."""
+    monkeypatch.setattr(near_vectors, "UNIT_BYTES", 16 * 64)
+    monkeypatch.setattr(near_vectors, "CHUNK", 5)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(3, 8))
+    x = [base[i % 3] + rng.normal(scale=0.25, size=8) for i in range(260)] + [base[0]] * 90
+    angle = np.linspace(0, 3, 25)
+    x += [np.array([np.cos(t), np.sin(t), 0, 0, 0, 0, 0, 0]) for t in angle]
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(order[i]) % 360, v.astype(np.float32).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = df.collect()
+    unit = np.array([near_vectors.unit_of(np.array(r["embedding"], np.float32)) for r in rows])
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    group = {r["vec_id"]: r["vec_id"] for r in rows}
+    for i, j in zip(*np.nonzero(near), strict=True):
+        p, q = group[rows[i]["vec_id"]], group[rows[j]["vec_id"]]
+        if p != q:
+            group = {k: min(p, q) if g in (p, q) else g for k, g in group.items()}
+    want = Counter((r["vec_id"], int(near[i].sum()), group[r["vec_id"]], r["vec_id"] == group[r["vec_id"]]) for i, r in enumerate(rows))
+    assert Counter(map(tuple, near_vectors.near_vectors(df).collect())) == want
 
 
 def test_topk(embeddings):

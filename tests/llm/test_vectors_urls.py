@@ -91,20 +91,37 @@ def test_near_vectors_in_units(spark, monkeypatch):
     assert Counter(map(tuple, near_vectors.near_vectors(df).collect())) == want
 
 
-def test_topk(embeddings):
-    found = [(i, n, np.floor(1024 * v).astype(np.int64)) for i, n, v in complete(embeddings.collect())]
-    want = []
+def brute_topk(rows, every=100, k=10):
+    found = [(i, n, np.floor(1024 * v).astype(np.int64)) for i, n, v in complete(rows)]
+    want = Counter()
     for i, n, q in found:
-        if n % 100 == 0:
-            ranked = sorted((-int(q @ w), m) for j, m, w in found if m != n and len(w) == len(q))[:10]
-            want += [(n, k + 1, m, -s) for k, (s, m) in enumerate(ranked)]
-    got = [tuple(r) for r in topk.search(embeddings).collect()]
-    singles = [w for w in want if w[0] != 300]  # id 300 stands for two queries in the fixture
-    assert Counter(g for g in got if g[0] != 300) == Counter(singles)
-    assert len([g for g in got if g[0] == 300]) == 10
+        if n % every == 0:
+            ranked = sorted((-int(q @ w), m) for j, m, w in found if j != i and len(w) == len(q))[:k]
+            want.update((n, place + 1, m, -s) for place, (s, m) in enumerate(ranked))
+    return want
+
+
+def test_topk(embeddings):
+    """Two rows of the fixture have the id 300: each is a query, and a candidate of the other."""
+    got = Counter(tuple(r)[:4] for r in topk.search(embeddings).collect())
+    assert got == brute_topk(embeddings.collect())
+    assert len([g for g in got.elements() if g[0] == 300]) == 20
     assert topk.search(embeddings.limit(0)).count() == 0
 
 
+def test_topk_in_blocks(spark, monkeypatch):
+    """Many blocks of vectors and queries, lengths of all sizes and many equal ones, repeated ids, few leaders."""
+    for name, value in (("BLOCK_BYTES", 512), ("QUERY_BYTES", 512), ("TOGETHER", 3), ("LEADERS", 12)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 8)) * rng.exponential(size=(700, 1)) ** 2
+    x[100:200] = x[100] / np.linalg.norm(x[100])
+    rows = [(int(i) % 350, v.tolist()) for i, v in enumerate(x)] + [(50, [0.0] * 8), (100, [1.0, 2.0]), (150, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for every, k in ((10, 10), (1, 3)):
+        assert Counter(tuple(r)[:4] for r in topk.search(df, every, k).collect()) == brute_topk(df.collect(), every, k)
+
+
 def test_topk_of_large_values(spark):
     rows = [(0, [3e9, 1.0]), (1, [2e3, 5.0]), (2, [-1e3, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

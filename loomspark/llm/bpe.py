@@ -8,7 +8,8 @@ Pre-tokens repeat, so each Python worker keeps the results of the last ones in a
 vocabulary (a few MB, fixed) is read on the driver from the given path and broadcast.
 
 Defined cases: a null text is encoded as the empty text (0 tokens, the digest of nothing); the special tokens of the
-file are found in the text as such; rows are independent, so order, ties, repeats and other columns do not matter.
+file are found in the text as such; a very long text is encoded whole; an empty table gives an empty result; rows are
+independent, so order, ties, repeats and other columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import gc
 import json
 import re
 from contextlib import contextmanager
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain
 
@@ -28,10 +30,25 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same with the faster standard library, for texts without the characters that its classes take otherwise:
-#: numbers that are not decimal digits, and four control characters.
+#: The same with the faster standard library, for texts without the characters that its classes take otherwise.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-OTHERWISE = frozenset("\x1c\x1d\x1e\x1f") | {c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+
+
+#: The ASCII characters among them.
+CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
+
+
+@cache
+def otherwise() -> frozenset[str]:
+    """The characters that the classes of the two libraries tell apart, such as numbers that are not decimal digits and
+    letters that only one of them knows; found by asking both, once in a worker that meets texts beyond ASCII."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    out: set[str] = set()
+    for one, other in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")):
+        out |= set(regex.findall(one, every)) ^ set(re.findall(other, every))
+    return frozenset(out)
+
+
 #: Entries of the two tables of pre-tokens, and the longest pre-token that enters them.
 KEPT, WAITING, LONGEST = 100_000, 80_000, 64
 
@@ -45,7 +62,8 @@ def byte_letters() -> dict[str, int]:
 
 
 def split(text: str) -> list[str]:
-    return (PLAIN if OTHERWISE.isdisjoint(set(text)) else PATTERN).findall(text)
+    plain = not any(c in text for c in CONTROLS) if text.isascii() else otherwise().isdisjoint(set(text))
+    return (PLAIN if plain else PATTERN).findall(text)
 
 
 class Remembered(dict):

@@ -9,7 +9,7 @@ left of a chunk is again a partial partition, so chunks are combined by the same
 partition is left. The plan is then read backwards by joins from chunk to group to row. Nothing is gathered on the
 driver, and a group with a third of all rows is one weight, summed before it is shuffled.
 
-Law: ``bytes`` (sizes of shards near equal). Defined cases: a null text has size 1, no checksum, and is a group of its
+Law: ``bytes`` (sizes of shards near equal). Defined cases: a very long text is one weight, never split; a null text has size 1, no checksum, and is a group of its
 own; the empty text is another; rows that repeat a doc_id are kept, each with its own slot; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -93,7 +93,8 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS, chunk: int = CHUNK) ->
 
 def shards_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row for each of ``docs(doc_id, text)``: size, checksum, law, shard, slot, grown_shard."""
-    # Equal texts share a 128-bit digest; the number of a group is its first half, distinct digests keep groups apart.
+    # Equal texts share a digest, whose first 60 bits are the number of their group. Two groups that share a number, of
+    # some billions, would be kept together as one; nothing else depends on it.
     sized = docs.select(F.col("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
     sized = sized.withColumn("item", F.conv(F.substring(F.md5(F.concat(F.lit("g"), "digest")), 1, 15), 16, 10).cast("long"))
     sized = common.cut(sized.drop("digest"))

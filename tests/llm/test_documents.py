@@ -123,6 +123,18 @@ def test_bpe_many_characters():
     assert own.decode(own.encode("a" * 50_000)) == "a" * 50_000
 
 
+def test_bpe_every_character():
+    """Every character, alone and between others, is split and encoded as the library does."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_path()
+    known, own = tokenizers.Tokenizer.from_file(path), bpe.Vocabulary(open(path, encoding="utf-8").read())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x30000 or c % 97 == 0)]
+    for at in range(0, len(every), 1000):
+        text = " ".join(f"a{c}1{c}{c} {c}." for c in every[at : at + 1000])
+        assert own.encode(text) == known.encode(text, add_special_tokens=False).ids
+    assert {"\x1c", "½", "²"} <= bpe.otherwise() and bpe.CONTROLS == {c for c in bpe.otherwise() if c.isascii()}
+
+
 def test_secrets(docs, none):
     patterns = [
         (re.compile(r"""((?i:password|passwd|secret|token)|(?i:api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 12),
@@ -249,6 +261,38 @@ def test_differencing_is_balanced():
     assert again == sums and max(sums) - min(sums) <= 20
 
 
+def plain_differencing(sizes, width):
+    """The shards' contents by Karmarkar-Karp differencing, each partial partition with its members."""
+    parts = [[(s, [i])] + [(0, [])] * (width - 1) for i, s in enumerate(sizes)]
+    order = list(range(len(parts)))
+    alive, made = {i: p for i, p in enumerate(parts)}, len(parts)
+    spread = lambda p: max(x[0] for x in p) - min(x[0] for x in p)
+    while len(alive) > 1:
+        order = sorted(alive, key=lambda i: (-spread(alive[i]), i))
+        one, other = alive.pop(order[0]), alive.pop(order[1])
+        down, up = sorted(one, key=lambda x: -x[0]), sorted(other, key=lambda x: x[0])
+        alive[made] = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(down, up, strict=True)]
+        made += 1
+    return [members for _, members in next(iter(alive.values()))]
+
+
+def test_sharding_is_plain_differencing(docs):
+    """In one chunk the query's shards are those of a plain differencing of the groups, up to the shards' names."""
+    rows = sharding.shards_of(docs).collect()
+    of_crc = Counter()
+    for r in rows:
+        of_crc[r["text_crc32"]] += r["size"]
+    sums = sorted(Counter({s: sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)}).values())
+    sizes = list(of_crc.values())
+    want = sorted(sum(sizes[i] for i in members) for members in plain_differencing(sizes, 8))
+    assert sums == want
+    rng = random.Random(8)
+    vectors = [[rng.randint(1, 500)] + [0] * 3 for _ in range(120)]
+    total, where = sharding.difference(vectors)
+    got = [sorted(i for i, w in enumerate(where) if w[0] == place) for place in range(4)]
+    assert sorted(got) == sorted(sorted(m) for m in plain_differencing([v[0] for v in vectors], 4))
+
+
 def test_sharding(docs, none):
     rows = sharding.shards_of(docs).collect()
     plain = docs.collect()

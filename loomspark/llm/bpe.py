@@ -18,7 +18,6 @@ import hashlib
 import gc
 import json
 import re
-from contextlib import contextmanager
 from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain
@@ -50,7 +49,7 @@ def otherwise() -> frozenset[str]:
 
 
 #: Entries of the two tables of pre-tokens, and the longest pre-token that enters them.
-KEPT, WAITING, LONGEST = 100_000, 80_000, 64
+KEPT, WAITING, LONGEST = 200_000, 200_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -110,26 +109,31 @@ class Vocabulary:
         n, rank_of, merged = len(ids), self.ranks.get, self.merged
         width = n.bit_length()
         low = (1 << width) - 1
-        queue = [r << width | i for i, r in enumerate(map(rank_of, zip(ids, ids[1:], strict=False))) if r is not None]
+        rank_at = list(map(rank_of, zip(ids, ids[1:], strict=False)))  # of the pair that starts at each symbol
+        queue = [r << width | i for i, r in enumerate(rank_at) if r is not None]
         if not queue:
             return tuple(ids)
         heapify(queue)
+        rank_at.append(None)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
             rank, i = entry >> width, entry & low
-            j = following[i]
-            if j >= n or (left := ids[i]) < 0 or rank_of((left, ids[j])) != rank:
+            if rank_at[i] != rank:
                 continue  # stale
+            j = following[i]
             ids[i] = new = merged[rank]
-            ids[j] = -1
+            ids[j], rank_at[j], rank_at[i] = -1, None, None
             following[i] = k = following[j]
             if k < n:
                 before[k] = i
-                if (r := rank_of((new, ids[k]))) is not None:
+                rank_at[i] = r = rank_of((new, ids[k]))
+                if r is not None:
                     heappush(queue, r << width | i)
-            if (h := before[i]) >= 0 and (r := rank_of((ids[h], new))) is not None:
-                heappush(queue, r << width | h)
+            if (h := before[i]) >= 0:
+                rank_at[h] = r = rank_of((ids[h], new))
+                if r is not None:
+                    heappush(queue, r << width | h)
         return tuple([x for x in ids if x >= 0])
 
     def pieces(self, text: str) -> list[tuple]:
@@ -167,17 +171,14 @@ def _vocabulary(shared) -> Vocabulary:
 def _forget() -> None:
     for vocabulary in _LOADED.values():
         vocabulary.words = Remembered(vocabulary.encode_word)
+    gc.enable()
 
 
-@contextmanager
-def _mapping(shared):
-    """A vocabulary for one batch. The collector of cycles rests meanwhile: nothing here makes cycles, and it would walk
-    through the tables again and again."""
+def _working(shared) -> Vocabulary:
+    """The vocabulary for one batch. The collector of cycles rests until the end of the task (``_forget``): nothing here
+    makes cycles, and it would walk through the tables again and again."""
     gc.disable()
-    try:
-        yield _vocabulary(shared)
-    finally:
-        gc.enable()
+    return _vocabulary(shared)
 
 
 def shared_vocabulary(spark: SparkSession, path: str):
@@ -196,8 +197,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     shared = shared_vocabulary(docs.sparkSession, path)
 
     def run(texts):
-        with _mapping(shared) as vocabulary:
-            return [pa.array([vocabulary.encode(x.as_py() or "") for x in texts], pa.list_(pa.int32()))]
+        vocabulary = _working(shared)
+        return [pa.array([vocabulary.encode(x.as_py() or "") for x in texts], pa.list_(pa.int32()))]
 
     return common.append(docs, [text], run, f"`{ids}` array<int>", _forget)
 
@@ -207,10 +208,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "d
     shared = shared_vocabulary(encoded.sparkSession, path)
 
     def run(lists):
-        with _mapping(shared) as vocabulary:
-            return [pa.array([vocabulary.decode(x.as_py() or ()) for x in lists], pa.string())]
+        vocabulary = _working(shared)
+        return [pa.array([vocabulary.decode(x.as_py() or ()) for x in lists], pa.string())]
 
-    return common.append(encoded, [ids], run, f"`{text}` string")
+    return common.append(encoded, [ids], run, f"`{text}` string", _forget)
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
@@ -219,12 +220,12 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
     def run(texts):
         lists, same = [], []
-        with _mapping(shared) as vocabulary:
-            for x in texts:
-                text = x.as_py() or ""
-                ids = vocabulary.encode(text)
-                same.append(vocabulary.decode(ids) == text)
-                lists.append(pa.array(ids, pa.int32()))
+        vocabulary = _working(shared)
+        for x in texts:
+            text = x.as_py() or ""
+            ids = vocabulary.encode(text)
+            same.append(vocabulary.decode(ids) == text)
+            lists.append(pa.array(ids, pa.int32()))
         sizes = [len(x) for x in lists]
         offsets = pa.array([0, *accumulate(sizes)], pa.int32())
         return [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.concat_arrays(lists) if lists else pa.array([], pa.int32())), same]
@@ -238,13 +239,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(texts):
         numbers, of_ids, of_text = [], [], []
-        with _mapping(shared) as vocabulary:
-            for x in texts:
-                pieces = vocabulary.pieces(x.as_py() or "")
-                ids = list(chain.from_iterable([p[0] for p in pieces]))
-                numbers.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
-                of_text.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
+        vocabulary = _working(shared)
+        for x in texts:
+            pieces = vocabulary.pieces(x.as_py() or "")
+            ids = list(chain.from_iterable([p[0] for p in pieces]))
+            numbers.append(len(ids))
+            of_ids.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
+            of_text.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
         return [numbers, of_ids, of_text]
 
     return common.append(docs, ["text"], run, "n_tokens long, ids_sha256 string, decoded_sha256 string", _forget)

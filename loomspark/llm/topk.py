@@ -34,7 +34,7 @@ from . import common, vectors
 
 SCALE, K, EVERY = 1024, 10, 100
 #: Bytes of a block of vectors and of a block of queries; vector blocks of a task; the sample; longest vectors.
-BLOCK_BYTES, QUERY_BYTES, TOGETHER, SAMPLE, LEADERS, TABLE_BYTES, EXACT = 1 << 20, 1 << 19, 32, 4096, 1024, 8 << 20, float(1 << 53)
+BLOCK_BYTES, QUERY_BYTES, TOGETHER, SAMPLE, LEADERS, TABLE_BYTES, EXACT = 1 << 20, 1 << 19, 4, 4096, 1024, 8 << 20, float(1 << 53)
 
 
 def _packed(rows):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import QueryError
 
+ROWS_A_FILE = 100_000
 _SCOPES: list[list[DataFrame]] = []
 _LOCAL: dict[str, str] = {}
 
@@ -40,9 +41,13 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table and read back: its plan, constraints and lineage start anew."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written as a table and read back: its plan, constraints and lineage start anew. Where a bound of its narrow
+    ``rows`` is known, it is written by one task for each ``ROWS_A_FILE`` of them at most, so that the many small tables
+    of a loop are few small files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{folder(spark)}/loomspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where, fs = _path(spark, path)

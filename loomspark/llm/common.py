@@ -89,12 +89,13 @@ def components(edges: DataFrame) -> DataFrame:
     combined minima: no adjacency list is ever gathered, and a node with very many neighbours is split by AQE."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("changed")))
+    rows = both.count()
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("changed")), rows)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        last, labels = labels, cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old").select("node", "label", (F.col("label") != F.col("old")).alias("changed")))
+        last, labels = labels, cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old").select("node", "label", (F.col("label") != F.col("old")).alias("changed")), rows)
         drop(last)
         if labels.where("changed").isEmpty():
             drop(both)

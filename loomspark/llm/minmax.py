@@ -218,10 +218,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     links = common.cut(pairs_of_first_leaders())
     labels = sets.select("node").join(common.components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    labels, leaders = common.cut(labels), LEADERS
+    many, of_sets = led.count(), sets.count()
+    labels, leaders = common.cut(labels, of_sets), LEADERS
     while True:
         # Links that are still unknown join two components, so one of their ends lies outside the bucket's main component.
-        known = common.cut(members.join(labels, "node"))
+        known = common.cut(members.join(labels, "node"), many)
         free = F.when(~F.col("tested"), F.col("n"))
         main = known.groupBy("bucket", "label").agg(F.count("*").alias("many"), F.count(free).alias("left"), F.sum(free).alias("total"), F.first("high").alias("high"))
         biggest = F.max(F.struct("many", "label", "left", F.coalesce("total", F.lit(0)).alias("total")))
@@ -232,17 +233,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         still = main.withColumns({"left": left, "total": F.col("total") - F.col("main.total")}).where("left > 0")
         wide = F.when(F.col("size") <= SMALL, F.lit(1)).otherwise(parts(F.col("left") * share, F.col("total") * share)).cast("long")
         still = still.select("bucket", F.col("main.label").alias("main"), "left", wide.alias("wide"), _every("high").alias("y"))
-        members = common.cut(known.join(still, ["bucket", "y"]))
+        members = common.cut(known.join(still, ["bucket", "y"]), many)
         if members.isEmpty():
             break
         chance = F.pmod(F.xxhash64("node", "bucket", F.lit(leaders)), F.lit(1 << 20)) * F.col("left") < F.lit(leaders << 20)
-        chosen = common.cut(members.where("not tested and label <> main").where((F.col("size") <= SMALL) | chance))
+        chosen = common.cut(members.where("not tested and label <> main").where((F.col("size") <= SMALL) | chance), many)
         found = common.cut(pairs_of(chosen, members).distinct())
         # new links join components; only these are merged further
         ends = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
         merges = ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         moved = common.components(merges).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = common.cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        labels = common.cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), of_sets)
         members = members.where(F.col("size") > SMALL).join(chosen.select("bucket", "node", F.lit(True).alias("now")), ["bucket", "node"], "left")
         members = members.select("bucket", "node", "n", "size", "high", "y", (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested"))
         leaders *= 4

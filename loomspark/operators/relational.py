@@ -24,8 +24,10 @@ def guarded_join(left: DataFrame, right: DataFrame, on: Column, kind: str = "inn
     stays. ``unmatched`` reject: a left row without a match raises."""
     if kind in ("semi", "anti"):
         if kind == "semi" and unmatched == "reject":
-            marked = left.join(right.withColumn("_hit", F.lit(True)), on, "left")
-            return marked.where(fails(F.col("_hit").isNull(), f"E_{label}_UNMATCHED_ROW")).select(*[left[c] for c in left.columns]).distinct()
+            # rows without a match raise when they are read; all others stay as often as they are
+            missing = F.when(F.col("_hit").isNull(), F.raise_error(F.lit(f"E_{label}_UNMATCHED_ROW")).cast("boolean")).otherwise(F.lit(False))
+            lost = left.join(right.withColumn("_hit", F.lit(True)), on, "left").where(missing).select(*[left[c] for c in left.columns])
+            return left.join(right, on, "left_semi").unionByName(lost)
         return left.join(right, on, KINDS[kind])
     plain = cardinality != "one" and unmatched != "reject"
     if plain:

@@ -87,10 +87,16 @@ def between(df: DataFrame, start: int, end: int, by: str = "csn") -> DataFrame:
     return df.where((F.col(by) >= start) & (F.col(by) < end))
 
 
+def needed(records: DataFrame, start: int, end: int, by: str) -> DataFrame:
+    """The records that the states in a window depend on: those of the keys that it touches, up to their last one in it."""
+    last = between(records, start, end, by).groupBy(*KEY).agg(F.max(order_of()).alias("_last"))
+    return records.join(last, list(KEY)).where(order_of() <= F.col("_last")).drop("_last")
+
+
 def property_diffs(records: DataFrame, start: int, end: int, by: str = "csn") -> DataFrame:
     """added, removed and changed properties against the state before, of records in the window."""
     before = Window.partitionBy(*KEY).orderBy("turn")
-    told = history(records).withColumn("old", F.coalesce(F.lag("props").over(before), F.create_map().cast("map<string,string>")))
+    told = history(needed(records, start, end, by)).withColumn("old", F.coalesce(F.lag("props").over(before), F.create_map().cast("map<string,string>")))
     told = between(told, start, end, by)
     names = F.array_union(F.map_keys("props"), F.map_keys("old"))
     rows = told.withColumn("name", F.explode(names)).select(*KEY, "record_id", "csn", "name", F.element_at("old", F.col("name")).alias("old_value"), F.element_at("props", F.col("name")).alias("new_value"), F.map_contains_key("old", F.col("name")).alias("was"), F.map_contains_key("props", F.col("name")).alias("is"))
@@ -109,7 +115,7 @@ def changes(records: DataFrame, start: int, end: int, mode: str = "state_transit
     if mode == "records":
         return between(records, start, end, by)
     if mode == "state_transitions":
-        return between(history(records), start, end, by).drop("turn")
+        return between(history(needed(records, start, end, by)), start, end, by).drop("turn")
     if mode == "property_diffs":
         return property_diffs(records, start, end, by)
     if mode == "final_rows":

@@ -153,11 +153,14 @@ def mapped(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def export(rows: DataFrame, path: str, kind: str, split: str | None = None) -> None:
-    """json, jsonl, hf-jsonl, parquet, or a webdataset of tar shards (as binary rows of a Parquet table)."""
-    from ..sources.files import tar_shards, write
+    """json, jsonl, hf-jsonl, parquet, arrow (one IPC file on the driver), or a webdataset of tar shards (as binary rows
+    of a Parquet table)."""
+    from ..sources.files import export_arrow, tar_shards, write
 
     rows = rows if split is None else rows.where(F.col("split") == split)
     if kind == "webdataset":
         write(tar_shards(rows, rows.columns[0], rows.columns[-1], 8), path, "parquet")
+    elif kind == "arrow":
+        export_arrow(rows, path)
     else:
-        write(rows, path, {"hf-jsonl": "jsonl", "arrow": "parquet"}.get(kind, kind))
+        write(rows, path, {"hf-jsonl": "jsonl"}.get(kind, kind))

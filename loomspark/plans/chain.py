@@ -38,12 +38,34 @@ def fingerprint(text: str | Query) -> str:
     return hashlib.sha256(render(tree).encode()).hexdigest()
 
 
-def explain(catalog: Catalog, text: str | Query) -> str:
-    """The chain as JSON, and Spark's plan of it."""
+#: What an explanation may be asked for.
+EXPLAIN_MODES = ("public", "developer", "proof", "coded", "ai", "forensic")
+
+
+def explain(catalog: Catalog, text: str | Query, mode: str | None = None) -> str:
+    """An explanation: one line of JSON, and under it a plan of Spark where the mode has one. ``mode`` comes before that
+    of the chain's own ``explain`` directive.
+
+    public: the chain alone, no names of columns or plans. developer: also the columns and the formatted plan. proof:
+    the filters and columns that reach each scan, as evidence of what is not read. coded: the optimised logical plan.
+    ai: whether vectors or texts leave the engine. forensic: everything, with the extended plan."""
     tree = parse(text) if isinstance(text, str) else text
+    mode = mode or (tree.explain if isinstance(tree.explain, str) else None) or "developer"
+    if mode not in EXPLAIN_MODES:
+        raise QueryError("E_PARSE", f"explain {mode}")
     df = query(catalog, tree)
-    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return json.dumps({"root": render(tree.root), "methods": [render(m) for m in tree.methods], "fingerprint": fingerprint(tree)}) + "\n" + plan
+    execution, modes = df._jdf.queryExecution(), df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    shown = lambda kind: execution.explainString(modes.fromString(kind))
+    told = {"mode": mode, "root": render(tree.root), "methods": [m.name if mode == "public" else render(m) for m in tree.methods], "fingerprint": fingerprint(tree)}
+    if mode in ("developer", "forensic"):
+        told["columns"] = df.dtypes
+    if mode in ("proof", "forensic"):
+        lines = [x.strip() for x in shown("formatted").splitlines()]
+        told["scans"] = [x for x in lines if x.startswith(("PushedFilters", "PartitionFilters", "ReadSchema", "DataFilters"))]
+    if mode in ("ai", "forensic"):
+        told["ai"] = {"methods": [m.name for m in tree.methods if m.name in AI], "vectors_returned": any(k.startswith("array<float") or k.startswith("array<double") for _, k in df.dtypes)}
+    plan = {"developer": "formatted", "coded": "cost", "forensic": "extended"}.get(mode)
+    return json.dumps(told) + ("\n" + shown(plan) if plan else "")
 
 
 def word(node) -> str:
@@ -78,7 +100,10 @@ class Planner:
     def objects(self, name: str, methods: list[Call]) -> DataFrame:
         if self.catalog.records is None:
             raise QueryError("E_UNKNOWN_OBJECT_TYPE", name)
-        records = self.catalog.records.where(F.col("object_type") == name)
+        return self.timed(self.catalog.records.where(F.col("object_type") == name), methods, self.flat)
+
+    def timed(self, records: DataFrame, methods: list[Call], flat) -> DataFrame:
+        """States, history or changes of log records, as the temporal methods say; ``flat`` makes properties columns."""
         options = {m.name: m for m in methods}
         scopes = [m for m in ("asOf", "history", "changes") if m in options]
         if len(scopes) > 1:
@@ -89,9 +114,9 @@ class Planner:
             records = records.join(self.catalog.hidden.select("goid").distinct(), "goid", "left_anti")
         dead = bool(options["includeTombstones"].plain()[0].value) if "includeTombstones" in options else False
         if "history" in options:
-            return self.flat(self.past(records, options["history"]))
+            return flat(self.past(records, options["history"]))
         if "changes" in options:
-            return self.changed(records, options["changes"])
+            return self.changed(records, options["changes"], flat)
         if "asOf" in options:
             (arg,) = options["asOf"].args
             if arg.label == "csn":
@@ -99,10 +124,10 @@ class Planner:
             elif arg.label in (None, "time", "commit_time"):
                 records = temporal.as_of(records, time_us=self.micros(arg.value.value))
             elif arg.label in self.catalog.bounds:
-                return self.flat(temporal.as_of_role(records, self.catalog.bounds[arg.label], arg.value.value))
+                return flat(temporal.as_of_role(records, self.catalog.bounds[arg.label], arg.value.value))
             else:
                 raise QueryError("E_UNKNOWN_BINDING", arg.label)
-        return self.flat(temporal.states(records, dead))
+        return flat(temporal.states(records, dead))
 
     def past(self, records: DataFrame, method: Call) -> DataFrame:
         mode = word(method.named().get("mode", Path(("states",))))
@@ -111,10 +136,12 @@ class Planner:
         states = temporal.history(records).drop("turn")
         if mode == "states":
             return states
+        if mode != "records_and_states":
+            raise QueryError("E_METHOD_CONFLICT", f"no history mode {mode}")
         tag = lambda df, grain: df.select(*temporal.KEY, "record_id", "ts_us", "csn", "record_kind", "props", F.lit(grain).alias("output_grain"))
         return tag(records, "record").unionByName(tag(states, "state"))
 
-    def changed(self, records: DataFrame, method: Call) -> DataFrame:
+    def changed(self, records: DataFrame, method: Call, flat) -> DataFrame:
         named = method.named()
         plain = method.plain()
         start, end = (named.get("from"), named.get("to")) if "from" in named else plain[:2] if len(plain) >= 2 else (None, None)
@@ -123,7 +150,7 @@ class Planner:
         by = "ts_us" if isinstance(start.value, str) else "csn"
         bounds = [self.micros(x.value) if by == "ts_us" else x.value for x in (start, end)]
         out = temporal.changes(records, *bounds, word(named.get("mode", Path(("state_transitions",)))), by)
-        return self.flat(out) if "props" in out.columns else out
+        return flat(out) if "props" in out.columns else out
 
     def micros(self, text: str) -> int:
         from datetime import UTC, datetime
@@ -138,20 +165,37 @@ class Planner:
         return df
 
     def associations(self, name: str, methods: list[Call]) -> DataFrame:
-        edges = self.catalog.edges
-        if edges is None:
+        """Associations as they stand, or, with a log of them, as the temporal methods say."""
+        valid = [m for m in methods if m.name == "asOf" and m.args[0].label == "association_valid_time"]
+        scopes = [m for m in methods if m.name in TEMPORAL and m not in valid]
+        if self.catalog.edge_records is not None:
+            out = self.timed(self.catalog.edge_records.where(F.col("object_type") == name), scopes, lambda df: df)
+            out = self.ends(out, name)
+        elif scopes:
+            raise QueryError("E_METHOD_CONFLICT", f"{scopes[0].name} needs a log of associations")
+        elif self.catalog.edges is None:
             raise QueryError("E_UNKNOWN_ASSOCIATION_TYPE", name)
-        out = edges.where(F.col("assoc_type") == name)
-        for m in methods:
-            if m.name == "asOf" and m.args[0].label == "association_valid_time":
-                from ..operators.mapping import valid_at
+        else:
+            out = self.catalog.edges.where(F.col("assoc_type") == name)
+        for m in valid:
+            from ..operators.mapping import valid_at
 
-                out = valid_at(out, F.lit(m.args[0].value.value.replace("Z", "")).cast(dict(out.dtypes)["valid_from"]))
+            out = valid_at(out, F.lit(m.args[0].value.value.replace("Z", "")).cast(dict(out.dtypes)["valid_from"]))
         if self.catalog.hidden is not None:
             gone = self.catalog.hidden.select("goid").distinct()
             out = out.join(gone.withColumnRenamed("goid", "source_goid"), "source_goid", "left_anti").join(gone.withColumnRenamed("goid", "target_goid"), "target_goid", "left_anti")
         return out
 
+    def ends(self, rows: DataFrame, name: str) -> DataFrame:
+        """Log rows as associations. An association's ends identify it, so they are those of any of its records, and rows
+        of one that never had any are left out; the other properties are the row's own."""
+        told = self.catalog.edge_records.where(F.col("object_type") == name).groupBy("goid").agg(*[F.max(F.element_at("props", F.lit(c))).alias(c) for c in ("source_goid", "target_goid")])
+        out = rows.join(told.where("source_goid is not null and target_goid is not null"), "goid")
+        if "props" in rows.columns:
+            out = out.withColumns({c: F.element_at("props", F.lit(c)) for c in ("valid_from", "valid_to")})
+            out = self.flat(out)
+        return out.withColumnRenamed("goid", "assoc_goid").withColumn("assoc_type", F.lit(name))
+
     def evidence(self, root: Call) -> DataFrame:
         if self.catalog.evidence is None:
             raise QueryError("E_UNKNOWN_BINDING", "evidence")
@@ -213,10 +257,11 @@ class Planner:
                 self.bound[word(named["name"])] = relational.recursive_append(self.source(named["seed"], []), self.source(named["step"], []), word(named["key"]), self.bounded(named))
         df = self.source(tree.root, methods)
         name = word(tree.root.plain()[0]) if tree.root.plain() and isinstance(tree.root.plain()[0], Path) else None
-        graphs = [m for m in methods if m.name in GRAPH]
+        graphs, searches = ([m for m in methods if m.name in kind] for kind in (GRAPH, AI))
+        if len(graphs) + len(searches) > 1:
+            raise QueryError("E_METHOD_CONFLICT", " and ".join(m.name for m in graphs + searches))
         if graphs:
-            df = self.graph(df, graphs)
-        searches = [m for m in methods if m.name in AI]
+            df = self.graph(df, graphs[0])
         if searches:
             df = self.search(df, searches[0])
         scope = Scope.of(df, tree.root.alias, name)
@@ -468,9 +513,8 @@ class Planner:
 
     # ---- graphs and vectors
 
-    def graph(self, nodes: DataFrame, calls: list[Call]) -> DataFrame:
+    def graph(self, nodes: DataFrame, m: Call) -> DataFrame:
         ids = nodes.select(F.col("goid").alias("id"))
-        m = calls[0]
         rel = next((x for x in m.plain() if isinstance(x, Call)), None)
         named = m.named()
         number = lambda k, d: named[k].value if k in named else d

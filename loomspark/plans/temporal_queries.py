@@ -75,12 +75,64 @@ area.frame("tmp_asof_role", lambda s, d: temporal.as_of_role(records(s, d), "spe
   SELECT h.*, row_number() OVER (PARTITION BY h.goid ORDER BY h.ts_us DESC, h.csn DESC) AS place FROM hist h JOIN cuts c ON c.goid = h.goid AND h.csn <= c.cut
 )
 SELECT goid, csn, last_type FROM upto WHERE place = 1 AND record_kind <> 'tombstone'""")
-area.chain("tmp_branch", 'object(user).branch("main").groupBy(last_type).select(last_type, n: count(*))', "WITH " + LOG.format(where="") + " SELECT last_type, count(*) AS n FROM hist WHERE from_end = 1 AND record_kind <> 'tombstone' GROUP BY 1", lambda s, d: _branched(s, d))
+# ---- branches: users with an odd id live on another branch
+area.chain("tmp_branch", 'object(user).branch("side").groupBy(last_type).select(last_type, n: count(*))', "WITH " + LOG.format(where="WHERE user_id % 2 = 1") + " SELECT last_type, count(*) AS n FROM hist WHERE from_end = 1 AND record_kind <> 'tombstone' GROUP BY 1", lambda s, d: _branched(s, d))
+area.chain("tmp_branch_default", "object(user).select(goid, csn)", "WITH " + LOG.format(where="WHERE user_id % 2 = 0") + " SELECT goid, csn FROM hist WHERE from_end = 1 AND record_kind <> 'tombstone'", lambda s, d: _branched(s, d))
+
+
+def _on_branches(log):
+    return log.withColumn("branch_key", F.col("goid").cast("long") % 2)
 
 
 def _branched(spark, folder):
     out = catalog(spark, folder)
-    out.branches = {"main": 0}
+    out.records = _on_branches(out.records)
+    out.branches = {"main": 0, "side": 1}
+    return out
+
+
+# ---- associations: each user's membership of a group, opened, changed and ended by the same events
+def memberships(spark, folder) -> Catalog:
+    out = catalog(spark, folder)
+    ends = F.create_map(F.lit("source_goid"), F.concat(F.lit("u"), "goid"), F.lit("target_goid"), F.concat(F.lit("g"), F.col("goid").cast("long") % 7))
+    out.edge_records = out.records.withColumn("object_type", F.lit("member_of")).withColumn("props", F.when(F.col("record_kind") == "baseline", F.map_concat("props", ends)).otherwise(F.col("props")))
+    return out
+
+
+def _branched_memberships(spark, folder) -> Catalog:
+    out = memberships(spark, folder)
+    out.edge_records, out.branches = _on_branches(out.edge_records), {"side": 1}
+    return out
+
+
+ENDS = "'u' || goid AS source_goid, 'g' || (CAST(goid AS BIGINT) % 7) AS target_goid"
+#: Only memberships that were ever opened have ends.
+OPENED = "goid IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'signup')"
+MEMBER = "association(member_of).{0}select(assoc_goid, source_goid, target_goid, csn, last_type, spent)"
+MEMBERS = "SELECT goid AS assoc_goid, " + ENDS + ", csn, last_type, spent FROM hist WHERE " + OPENED
+for _name, _scope, _where, _keep in (
+    ("latest", "", "", "AND from_end = 1 AND record_kind <> 'tombstone'"),
+    ("asof_csn", f"asOf(csn: {CUT}).", f"WHERE event_id <= {CUT}", "AND from_end = 1 AND record_kind <> 'tombstone'"),
+    ("asof_time", 'asOf(time: "2024-01-03T00:00:00Z").', "WHERE ts <= TIMESTAMP '2024-01-03'", "AND from_end = 1 AND record_kind <> 'tombstone'"),
+    ("tombstones", "includeTombstones(true).", "", "AND from_end = 1"),
+    ("history", "history().", "", ""),
+    ("transitions", "changes(from: 100, to: 400, mode: state_transitions).", "", "AND csn >= 100 AND csn < 400"),
+    ("final", "changes(from: 100, to: 400, mode: final_rows).", "WHERE event_id < 400", "AND from_end = 1 AND goid IN (SELECT goid FROM log WHERE csn >= 100)"),
+):
+    area.chain(f"tmp_association_{_name}", MEMBER.format(_scope), "WITH " + LOG.format(where=_where) + " " + MEMBERS + " " + _keep, memberships)
+area.chain("tmp_association_branch", MEMBER.format('branch("side").'), "WITH " + LOG.format(where="WHERE user_id % 2 = 1") + " " + MEMBERS + " AND from_end = 1 AND record_kind <> 'tombstone'", _branched_memberships)
+area.chain("tmp_association_records", "association(member_of).changes(from: 100, to: 400, mode: records).select(assoc_goid, source_goid, target_goid, csn, record_kind)", "WITH " + LOG.format(where="") + " SELECT goid AS assoc_goid, " + ENDS + ", csn, record_kind FROM log WHERE csn >= 100 AND csn < 400 AND " + OPENED, memberships)
+area.chain("tmp_association_diffs", "association(member_of).changes(from: 100, to: 400, mode: property_diffs).where(name == \"spent\").select(assoc_goid, source_goid, csn, change, old_value, new_value)", "WITH " + LOG.format(where="") + """, steps AS (SELECT goid, csn, spent, lag(spent) OVER (PARTITION BY goid ORDER BY ts_us, csn) AS old_value FROM hist)
+SELECT goid AS assoc_goid, 'u' || goid AS source_goid, csn, CASE WHEN old_value IS NULL THEN 'added' WHEN spent IS NULL THEN 'removed' ELSE 'changed' END AS change, old_value, spent AS new_value
+FROM steps WHERE csn >= 100 AND csn < 400 AND old_value IS DISTINCT FROM spent AND """ + OPENED, memberships)
+area.chain("tmp_association_hop", "object(member).select(goid, n: count(out(member_of)))", "WITH " + LOG.format(where="") + ", live AS (SELECT 'u' || goid AS source_goid FROM hist WHERE from_end = 1 AND record_kind <> 'tombstone' AND " + OPENED + ") SELECT 'u' || user_id AS goid, count(source_goid) AS n FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN live ON source_goid = 'u' || user_id GROUP BY 1", lambda s, d: _members(s, d))
+
+
+def _members(spark, folder) -> Catalog:
+    """Users as objects under the names that their memberships use."""
+    out = memberships(spark, folder)
+    users = out.records.select("goid").distinct()
+    out.records = users.select(F.lit("member").alias("object_type"), F.lit(0).cast("long").alias("branch_key"), F.concat(F.lit("u"), "goid").alias("goid"), F.col("goid").alias("record_id"), F.lit(0).cast("long").alias("ts_us"), F.lit(0).cast("long").alias("csn"), F.lit("baseline").alias("record_kind"), F.create_map(F.lit("last_type"), F.lit("none")).alias("props"))
     return out
 
 
@@ -91,17 +143,10 @@ def _chain(spark, folder):
 
 area.frame("delta_chain_read", lambda s, d: temporal.states(_chain(s, d)).select("goid", "csn", F.element_at("props", F.lit("last_type")).alias("last_type"), F.element_at("props", F.lit("spent")).alias("spent")), LATEST.format(where=""))
 area.frame("delta_prune", lambda s, d: temporal.states(temporal.as_of(_chain(s, d).where(F.col("chain_ordinal").isin(temporal.pruned_chain([{"least_csn": 0, "least_ts_us": 0}, {"least_csn": 301, "least_ts_us": 0}, {"least_csn": 601, "least_ts_us": 0}], csn=500))), csn=500)).select("goid", "csn"), "WITH " + LOG.format(where="WHERE event_id <= 500") + " SELECT goid, csn FROM hist WHERE from_end = 1 AND record_kind <> 'tombstone'")
-area.frame("delta_compact_equal", lambda s, d: _compact_equal(s, d), "SELECT CAST(0 AS BIGINT) AS differing")
+area.frame("delta_compact", lambda s, d: temporal.states(temporal.compacted(_chain(s, d).drop("chain_ordinal"))).select("goid", "csn", F.element_at("props", F.lit("last_type")).alias("last_type"), F.element_at("props", F.lit("spent")).alias("spent")), LATEST.format(where=""))
 area.frame("delta_touched", lambda s, d: _chain(s, d).where("chain_ordinal = 2").select("goid").distinct(), "SELECT DISTINCT CAST(user_id AS VARCHAR) AS goid FROM events WHERE event_id > 600")
 
 
-def _compact_equal(spark, folder):
-    log = records(spark, folder)
-    flat = lambda df: df.select("goid", "csn", F.element_at("props", F.lit("last_type")).alias("t"), F.element_at("props", F.lit("spent")).alias("s"))
-    one, other = flat(temporal.states(log)), flat(temporal.states(temporal.compacted(log)))
-    return one.exceptAll(other).unionAll(other.exceptAll(one)).agg(F.count("*").alias("differing"))
-
-
 area.frame("delta_patch", lambda s, d: _patched(s, d), """
 WITH base AS (SELECT CAST(c_custkey AS VARCHAR) AS goid, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation, c_custkey FROM customer)
 SELECT goid, CASE WHEN segment = 'BUILDING' THEN 'patched' ELSE segment END AS segment, CASE WHEN segment = 'FURNITURE' THEN NULL ELSE nation END AS nation FROM base WHERE segment <> 'HOUSEHOLD'""")

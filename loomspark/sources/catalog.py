@@ -28,6 +28,8 @@ class Catalog:
     contracts: dict[str, Contract] = field(default_factory=dict)
     records: DataFrame | None = None
     edges: DataFrame | None = None
+    #: A log of associations, like ``records``: object_type is the association's type, and props hold its ends.
+    edge_records: DataFrame | None = None
     edge_types: set[str] | None = None
     evidence: DataFrame | None = None
     projections: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)

@@ -38,14 +38,11 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files; the schema comes from the first file, the batches from the executors."""
+    """Arrow IPC files, each read by one task; a task also finds the schema, so no file's content reaches the driver."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
     files = spark.read.format("binaryFile").load(path)
-    first = files.limit(1).select("content").first()
-    if first is None:
-        raise QueryError("E_PARSE", f"no file at {path}")
 
     def opened(data: bytes):
         try:
@@ -53,7 +50,15 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
         except pa.ArrowInvalid:
             return pa.ipc.open_stream(io.BytesIO(data))
 
-    schema = opened(bytes(first["content"])).schema
+    def schemas(it):
+        for part in it:
+            for content in part.column("content"):
+                yield pa.RecordBatch.from_arrays([pa.array([opened(content.as_py()).schema.serialize().to_pybytes()])], names=["schema"])
+
+    first = files.select("content").mapInArrow(schemas, "schema binary").first()
+    if first is None:
+        raise QueryError("E_PARSE", f"no file at {path}")
+    schema = pa.ipc.read_schema(pa.py_buffer(bytes(first["schema"])))
 
     def batches(it):
         for part in it:
@@ -83,20 +88,57 @@ def write(df: DataFrame, path: str, kind: str | None = None, partition_by: tuple
         writer.csv(path, header=True)
     elif kind == "orc":
         writer.orc(path)
-    else:
+    elif kind == "parquet":
         writer.parquet(path)
+    else:
+        raise QueryError("E_PARSE", f"no sink for {kind}; export_arrow writes a file of record batches")
+
 
+#: What the targets of a conversion cannot hold, by the start of a type's name.
+LOSSY = {
+    "archive": {"timestamp": "the time zone is dropped", "void": "a column without a type", "interval": "no intervals", "map": "kept as pairs", "variant": "kept as JSON text", "char": "the length is dropped", "varchar": "the length is dropped"},
+    "csv": {"array": "no nested values", "map": "no nested values", "struct": "no nested values", "binary": "bytes become text", "timestamp": "the time zone is dropped", "void": "a column without a type", "string": "null and empty text are alike"},
+    "json": {"binary": "bytes become text in base 64", "decimal": "read back as a double", "timestamp": "read back as text", "date": "read back as text", "void": "left out", "tinyint": "read back as bigint", "smallint": "read back as bigint", "int": "read back as bigint", "float": "read back as a double"},
+    "arrow": {"void": "a column without a type", "interval": "months and days are apart"},
+}
+LOSSY["jsonl"] = LOSSY["json"]
+LOSSY["parquet"] = {k: LOSSY["archive"][k] for k in ("void", "char", "varchar")}
+LOSSY["orc"] = {"void": "a column without a type", "interval": "no intervals", "variant": "no variants"}
 
-def conversion_report(df: DataFrame) -> list[dict]:
-    """What a conversion to the archive's types loses, by column."""
-    lossy = {"timestamp": "time zone is dropped", "float": None, "void": "no type"}
+
+def conversion_report(df: DataFrame, kind: str = "archive") -> list[dict]:
+    """What a conversion to the archive's types or to another format loses, by column."""
+    if kind not in LOSSY:
+        raise QueryError("E_PARSE", f"no format {kind}")
     out = []
-    for name, kind in df.dtypes:
-        note = lossy.get(kind)
-        out.append({"column": name, "type": kind, "lossy": bool(note), "note": note or ""})
+    for name, type_name in df.dtypes:
+        note = next((note for start, note in LOSSY[kind].items() if type_name.startswith(start) and type_name != "timestamp_ntz"), None)
+        out.append({"column": name, "type": type_name, "lossy": note is not None, "note": note or ""})
     return out
 
 
+def export_arrow(df: DataFrame, path: str) -> dict:
+    """A result as one Arrow IPC file on the driver, and a report of it. Executors make the record batches, and the driver
+    holds those of one partition at a time."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def packed(it):
+        for batch in it:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["content"])
+
+    rows, schema = 0, to_arrow_schema(df.schema)
+    with pa.OSFile(path, "wb") as out, pa.ipc.new_file(out, schema) as writer:
+        for row in df.mapInArrow(packed, "content binary").toLocalIterator():
+            for batch in pa.ipc.open_stream(bytes(row["content"])):
+                writer.write_table(pa.Table.from_batches([batch]).cast(schema))
+                rows += batch.num_rows
+    return {"path": path, "rows": rows, "columns": conversion_report(df, "arrow")}
+
+
 def rendered(df: DataFrame, kind: str = "table", most: int = 1000) -> str:
     """Up to ``most`` rows as text: table, json, jsonl or csv."""
     rows = [r.asDict(recursive=True) for r in df.limit(most).collect()]

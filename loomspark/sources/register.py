@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from .catalog import Catalog
@@ -20,14 +21,29 @@ def register_file(spark: SparkSession, name: str, path: str, **options) -> DataF
 
 
 def register_dataset(spark: SparkSession, name: str, paths: list[str], trusted: bool = True, digests: dict[str, str] | None = None) -> DataFrame:
-    """Files of a manifest as one view; an untrusted manifest must carry the digest of every file's list entry."""
-    if not trusted and any(p not in (digests or {}) for p in paths):
-        raise QueryError("E_REF_INVALID", "a file without a digest")
+    """Files of a manifest as one view; an untrusted manifest must carry the SHA-256 of every file, and it must be right."""
+    if not trusted:
+        if any(p not in (digests or {}) for p in paths):
+            raise QueryError("E_REF_INVALID", "a file without a digest")
+        wrong = [p for p in paths if file_digest(spark, p) != digests[p]]
+        if wrong:
+            raise QueryError("E_REF_INVALID", f"{wrong[0]} has another digest")
     df = read_dataset(spark, paths)
     df.createOrReplaceTempView(name)
     return df
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file; of a folder, that of its data files' digests in the order of their names. Files are read by
+    the executors, and only digests come back."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest")).orderBy("path").collect()
+    if not files:
+        raise QueryError("E_REF_INVALID", f"no file at {path}")
+    if len(files) == 1:
+        return files[0]["digest"]
+    return hashlib.sha256("".join(f["digest"] for f in files).encode()).hexdigest()
+
+
 def register_projections(catalog: Catalog) -> list[str]:
     for name in catalog.projections:
         catalog.projection(name).createOrReplaceTempView(name)
@@ -46,7 +62,8 @@ def mount(catalog: Catalog, name: str, path: str, **options) -> Catalog:
 
 
 def publish(spark: SparkSession, path: str, entries: list[dict]) -> str:
-    """Write a manifest beside its place and rename it there, so readers see the old one or the new one; its digest."""
+    """Write a manifest beside its place and rename it over the old one in one step, so that readers see the old one or
+    the new one at any time; its digest."""
     text = json.dumps({"entries": entries}, sort_keys=True)
     jvm = spark._jvm
     to = jvm.org.apache.hadoop.fs.Path(path)
@@ -55,10 +72,11 @@ def publish(spark: SparkSession, path: str, entries: list[dict]) -> str:
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(to):
-        fs.delete(to, False)
-    if not fs.rename(aside, to):
-        raise QueryError("E_REF_INVALID", f"{path} was not published")
+    options = jvm.org.apache.hadoop.fs.Options
+    overwrite = spark.sparkContext._gateway.new_array(options.Rename, 1)
+    overwrite[0] = getattr(options, "Rename").OVERWRITE
+    to, aside = fs.makeQualified(to), fs.makeQualified(aside)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, to, overwrite)
     return hashlib.sha256(text.encode()).hexdigest()
 
 

@@ -255,3 +255,28 @@ def test_ivf_is_exact(spark):
             query = list(map(float, rows[i][1]))
             got = [tuple(r) for r in vectors.ivf_search(df, query, 10, metric).collect()]
             assert got == [tuple(r) for r in vectors.search(df, query, 10, metric).collect()] and len(got) == 10
+
+
+def test_semi_join_with_unmatched_rows(spark):
+    """Left rows stay as often as they are; one without a match raises."""
+    from loomspark.operators import relational
+
+    left, right = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (2,), (2,)], "j int")
+    out = relational.guarded_join(left, right, left["k"] == right["j"], "semi", unmatched="reject")
+    assert sorted(r["k"] for r in out.collect()) == [1, 1, 2]
+    with pytest.raises(Exception, match="UNMATCHED_ROW"):
+        relational.guarded_join(left, right.where("j = 1"), left["k"] == right["j"], "semi", unmatched="reject").collect()
+
+
+def test_checkpoint_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from loomspark.operators import checkpoints
+
+    with checkpoints.scratch() as kept:
+        one, other = checkpoints.cut(spark.range(5)), checkpoints.cut(spark.range(6), 6)
+        kept.append(other)
+    here = lambda df: os.path.exists(df._cut_path.removeprefix("file:"))
+    assert not here(one) and here(other) and other.count() == 6
+    checkpoints.drop(other)
+    assert not here(other)

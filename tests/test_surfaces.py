@@ -88,3 +88,71 @@ def test_sequences_and_export(spark, tmp_path):
         training.export(samples, f"{tmp_path}/{kind}", kind)
     assert spark.read.parquet(f"{tmp_path}/webdataset").groupBy().sum("members").first()[0] == 20
     assert training.mapped(samples, {"a": "id", "b": "none"}).columns == ["a", "b"]
+
+
+def test_manifest_digests(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, s string")
+    path = f"{tmp_path}/t.parquet"
+    df.write.parquet(path)
+    right = register.file_digest(spark, path)
+    register.register_dataset(spark, "surface_d", [path], trusted=False, digests={path: right})
+    assert spark.sql("SELECT count(*) FROM surface_d").first()[0] == 2
+    with pytest.raises(QueryError):
+        register.register_dataset(spark, "surface_e", [path], trusted=False, digests={path: "wrong"})
+
+
+def test_publish_replaces_in_one_step(spark, tmp_path):
+    path = f"{tmp_path}/manifest.json"
+    for n in range(3):
+        register.publish(spark, path, [{"path": f"part-{n}"}])
+        assert register.manifest(spark, path) == [{"path": f"part-{n}"}]
+
+
+def test_arrow_files(spark, tmp_path):
+    from loomspark.sources import files
+
+    df = spark.range(1000).select("id", F.col("id").cast("string").alias("s"), F.array("id").alias("a")).repartition(3)
+    report = files.export_arrow(df, f"{tmp_path}/t.arrow")
+    assert report["rows"] == 1000 and not any(c["lossy"] for c in report["columns"])
+    back = files.read(spark, f"{tmp_path}/t.arrow")
+    assert back.dtypes == df.dtypes and back.exceptAll(df).isEmpty() and back.count() == 1000
+    assert files.export_arrow(df.limit(0), f"{tmp_path}/none.arrow")["rows"] == 0
+    training.export(df, f"{tmp_path}/u.arrow", "arrow")
+    assert files.read(spark, f"{tmp_path}/u.arrow").count() == 1000
+    with pytest.raises(QueryError):
+        files.write(df, f"{tmp_path}/v.arrow")
+
+
+def test_conversion_reports(spark):
+    from loomspark.sources import files
+
+    df = spark.sql("SELECT 1 AS i, 'x' AS s, current_timestamp() AS t, map('a', 1) AS m, timestamp_ntz'2024-01-01' AS n, X'00' AS b")
+    lossy = lambda kind: [c["column"] for c in files.conversion_report(df, kind) if c["lossy"]]
+    assert lossy("archive") == ["t", "m"] and lossy("csv") == ["s", "t", "m", "b"] and lossy("json") == ["i", "t", "b"] and lossy("parquet") == []
+    with pytest.raises(QueryError):
+        files.conversion_report(df, "xml")
+
+
+def test_methods_that_would_be_dropped_raise(spark):
+    catalog = Catalog(spark)
+    catalog.edges = spark.createDataFrame([("e", "a", "x", "y")], "assoc_type string, assoc_goid string, source_goid string, target_goid string")
+    for chain in ("association(e).asOf(csn: 1)", "association(e).history()", 'association(e).branch("nope")', "association(e).changes(from: 1, to: 2)"):
+        with pytest.raises(QueryError, match="E_METHOD_CONFLICT"):
+            query(catalog, chain)
+    catalog.records = spark.createDataFrame([("o", 0, "x", "r", 1, 1, "baseline", {"a": "b"})], "object_type string, branch_key long, goid string, record_id string, ts_us long, csn long, record_kind string, props map<string,string>")
+    for chain in ("object(o).degree().pageRank()", "object(o).history(mode: everything)"):
+        with pytest.raises(QueryError, match="E_METHOD_CONFLICT"):
+            query(catalog, chain)
+
+
+def test_explain_modes(spark):
+    import json
+
+    from loomspark.plans.chain import EXPLAIN_MODES, explain
+
+    catalog = Catalog(spark).add("t", spark.range(5).withColumn("secret", F.lit("s")))
+    text = {m: explain(catalog, "table(t).where(id > 2).select(id)", m) for m in EXPLAIN_MODES}
+    told = {m: json.loads(x.split("\n")[0]) for m, x in text.items()}
+    assert all(told[m]["mode"] == m for m in EXPLAIN_MODES) and len({x.split("\n", 1)[0] for x in text.values()}) == len(EXPLAIN_MODES)
+    assert "\n" not in text["public"] and "Physical Plan" in text["developer"] and "Analyzed" in text["forensic"] and "scans" in told["proof"] and told["ai"]["ai"]["methods"] == []
+    assert json.loads(explain(catalog, "table(t).select(id).explain(proof)").split("\n")[0])["mode"] == "proof"

@@ -59,6 +59,12 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return out
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The JVM deletes ``path`` when the session ends."""
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the tables of ``cut`` that are read by ``tables``; nothing may read them any more."""
     for df in tables:

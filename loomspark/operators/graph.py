@@ -1,8 +1,8 @@
 """Graph operators over nodes(id) and edges(edge, src, dst[, weight]).
 
 Traversals are loops of edge joins that carry their path; algorithms are loops of joins and aggregates by node. Every
-round is cut by a written table, and no adjacency list is gathered in one task, except by the two tree builders, which
-are sequential by definition and work on one component each."""
+round is cut by a written table, and no adjacency list is gathered in one task, except for a depth-first tree, which is
+sequential by definition and takes a component in one task."""
 
 from __future__ import annotations
 
@@ -240,10 +240,26 @@ def hits(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, toler
 
 
 def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, triangles): ordered pairs of out-neighbours with an edge, halved."""
-    pairs = neighbours(edges).where("src <> dst")
-    a, b, c = pairs.select(F.col("src").alias("id"), F.col("dst").alias("x")), pairs.select(F.col("src").alias("id"), F.col("dst").alias("y")), pairs.select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    found = a.join(c, "x").join(b, ["id", "y"]).groupBy("id").agg(F.floor(F.count("*") / 2).alias("t"))
+    """(id, triangles): ordered pairs of out-neighbours with an edge, halved.
+
+    Each triangle of the undirected graph is met once, at its corner of the least degree, so a hub's neighbours are never
+    paired there; the directions of its three sides then say what each corner counts."""
+    pairs = cut(neighbours(edges).where("src <> dst"))
+    ends = F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    sides = pairs.groupBy(ends.alias("e")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("ab"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("ba")).select("e.a", "e.b", "ab", "ba")
+    sides = cut(sides)
+    many = sides.select(F.col("a").alias("n")).unionAll(sides.select("b")).groupBy("n").agg(F.count("*").alias("d"))
+    told = sides.join(many.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(many.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+    first = F.struct("da", "a") < F.struct("db", "b")
+    # u is the end that comes first, by degree and id; go: u to v, back: v to u
+    led = cut(told.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("ab")).otherwise(F.col("ba")).alias("go"), F.when(first, F.col("ba")).otherwise(F.col("ab")).alias("back")))
+    x = led.select("u", F.col("v").alias("x"), F.col("go").alias("ux"), F.col("back").alias("xu"))
+    y = led.select("u", F.col("v").alias("y"), F.col("go").alias("uy"), F.col("back").alias("yu"))
+    z = led.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("go").alias("xy"), F.col("back").alias("yx"))
+    met = x.join(z, "x").join(y, ["u", "y"])
+    corner = lambda n, one, other, third: F.struct(F.col(n).alias("id"), (F.col(one) * F.col(other) * third).alias("t"))
+    counts = met.select(F.explode(F.array(corner("u", "ux", "uy", F.col("xy") + F.col("yx")), corner("x", "xu", "xy", F.col("uy") + F.col("yu")), corner("y", "yu", "yx", F.col("ux") + F.col("xu")))).alias("c"))
+    found = counts.groupBy("c.id").agg(F.floor(F.sum("c.t") / 2).alias("t"))
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("t", F.lit(0)).cast("long").alias("triangles"))
 
 
@@ -297,67 +313,83 @@ def betweenness(nodes: DataFrame, edges: DataFrame, deepest: int = 64) -> DataFr
     return ids.join(summed, "id", "left").select("id", F.coalesce("c", F.lit(0.0)).alias("centrality"))
 
 
+def minimum_forest(pairs: DataFrame) -> DataFrame:
+    """The (src, dst) of ``pairs(src, dst, weight)`` in a minimum spanning forest, equal weights in the order of the ends.
+
+    Boruvka rounds: every tree takes its least edge to another tree, and trees that are joined become one."""
+    edges = cut(pairs.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    trees = cut(neighbours(edges.withColumn("edge", F.lit(0)), "either").select(F.col("src").alias("node")).distinct().withColumn("tree", F.col("node")))
+    taken = None
+    while True:
+        apart = edges.join(trees.select(F.col("node").alias("src"), F.col("tree").alias("a")), "src").join(trees.select(F.col("node").alias("dst"), F.col("tree").alias("b")), "dst").where("a <> b")
+        edges = cut(apart.select("src", "dst", "weight", "a", "b"))  # edges inside a tree are never needed again
+        if edges.isEmpty():
+            return taken if taken is not None else edges.select("src", "dst")
+        order = F.struct("weight", "src", "dst")
+        ends = edges.select("a", "b", order.alias("o")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), order.alias("o")))
+        best = cut(ends.groupBy("a").agg(F.min(F.struct("o", "b")).alias("m")).select("a", F.col("m.b").alias("b"), "m.o.src", "m.o.dst"))
+        new = best.select("src", "dst").distinct()
+        taken = cut(new if taken is None else taken.unionByName(new))
+        labels = min_labels(best.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0).alias("edge")))
+        trees = cut(trees.join(labels.select(F.col("node").alias("tree"), "label"), "tree").select("node", F.col("label").alias("tree")))
+        edges = edges.select("src", "dst", "weight")
+
+
+def levels_from(roots: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, tree_parent, tree_depth): a breadth-first tree by levels. Of several parents the one that was reached first
+    counts, and the nodes of a level are in the order of their parents and then of their ids."""
+    level = cut(roots.select("id", F.lit(None).cast(dict(roots.dtypes)["id"]).alias("tree_parent"), F.lit(0).cast("long").alias("tree_depth"), F.lit(0).cast("long").alias("turn")))
+    out, depth = level, 0
+    while True:
+        depth += 1
+        grown = level.select("id", "turn").join(steps, F.col("id") == F.col("src")).groupBy("dst").agg(F.min(F.struct("turn", "id")).alias("p"))
+        fresh = cut(grown.select(F.col("dst").alias("id"), "p").join(out.select("id"), "id", "left_anti"))
+        if fresh.isEmpty():
+            return out.drop("turn")
+        placed = fresh.withColumn("place", F.struct("p.turn", "id"))
+        turns = ranked(placed, "place")
+        level = cut(placed.join(turns, "place").select("id", F.col("p.id").alias("tree_parent"), F.lit(depth).cast("long").alias("tree_depth"), F.col("rank").cast("long").alias("turn")))
+        out = cut(out.unionByName(level))
+
+
 def spanning_tree(nodes: DataFrame, edges: DataFrame, kind: str = "bfs", weight: str | None = None) -> DataFrame:
     """(id, tree_parent, tree_depth): one tree for each weak component, grown from the least node.
 
-    min_weight takes edges by (weight, source, target) and refuses negative weights. The orders of a depth-first or a
-    Kruskal tree are sequential, so each component is one task."""
-    labels = min_labels(edges)
-    chosen = edges.select("src", "dst", (F.col(weight) if weight else F.lit(0.0)).cast("double").alias("weight"))
-    if kind == "min_weight":
-        from .relational import fails
+    bfs and min_weight are joins by levels and by Boruvka rounds; min_weight takes edges by (weight, source, target) and
+    refuses negative weights. A depth-first order is sequential, so there each component is one task."""
+    if kind not in ("bfs", "dfs", "min_weight"):
+        raise QueryError("E_METHOD_CONFLICT", f"tree {kind}")
+    labels, node_type = min_labels(edges), dict(edges.dtypes)["src"]
+    alone = nodes.select("id").distinct().join(labels.select(F.col("node").alias("id")), "id", "left_anti")
+    alone = alone.select("id", F.lit(None).cast(node_type).alias("tree_parent"), F.lit(0).cast("long").alias("tree_depth"))
+    if kind != "dfs":
+        pairs = edges.select("src", "dst")
+        if kind == "min_weight":
+            from .relational import fails
 
-        chosen = chosen.where(fails(F.col("weight").isNull() | (F.col("weight") < 0), "E_METHOD_CONFLICT"))
-    node_type = dict(edges.dtypes)["src"]
-    own = chosen.join(labels.select(F.col("node").alias("src"), "label"), "src")
+            weighed = edges.select("src", "dst", (F.col(weight) if weight else F.lit(0.0)).cast("double").alias("weight"))
+            pairs = minimum_forest(weighed.where(fails(F.col("weight").isNull() | (F.col("weight") < 0), "E_METHOD_CONFLICT")))
+        steps = cut(neighbours(pairs.withColumn("edge", F.lit(0)), "either").where("src <> dst"))
+        return levels_from(labels.select(F.col("label").alias("id")).distinct(), steps).unionByName(alone)
+    own = edges.select("src", "dst").join(labels.select(F.col("node").alias("src"), "label"), "src")
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         near: dict = {n: set() for n in [*rows["src"], *rows["dst"]]}
-        if kind == "min_weight":
-            root = {n: n for n in [*rows["src"], *rows["dst"]]}
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for r in rows.sort_values(["weight", "src", "dst"]).itertuples():
-                a, b = find(r.src), find(r.dst)
-                if a != b:
-                    root[b] = a
-                    near[r.src].add(r.dst)
-                    near[r.dst].add(r.src)
-        else:
-            for a, b in zip(rows["src"], rows["dst"], strict=True):
-                near[a].add(b)
-                near[b].add(a)
-        out, seen = [], set()
-        for start in sorted(near):
-            if start in seen:
+        for a, b in zip(rows["src"], rows["dst"], strict=True):
+            near[a].add(b)
+            near[b].add(a)
+        start = min(near)
+        out, seen = [(start, None, 0)], {start}
+        line = [(start, 0, iter(sorted(near[start])))]
+        while line:
+            node, depth, rest = line[-1]
+            following = next((x for x in rest if x not in seen), None)
+            if following is None:
+                line.pop()
                 continue
-            seen.add(start)
-            out.append((start, None, 0))
-            line = [(start, 0, iter(sorted(near[start])))]
-            while line:
-                if kind == "dfs":
-                    node, depth, rest = line[-1]
-                    following = next((x for x in rest if x not in seen), None)
-                    if following is None:
-                        line.pop()
-                        continue
-                    seen.add(following)
-                    out.append((following, node, depth + 1))
-                    line.append((following, depth + 1, iter(sorted(near[following]))))
-                else:
-                    node, depth, rest = line.pop(0)
-                    for x in rest:
-                        if x not in seen:
-                            seen.add(x)
-                            out.append((x, node, depth + 1))
-                            line.append((x, depth + 1, iter(sorted(near[x]))))
+            seen.add(following)
+            out.append((following, node, depth + 1))
+            line.append((following, depth + 1, iter(sorted(near[following]))))
         return pd.DataFrame(out, columns=["id", "tree_parent", "tree_depth"]).astype({"id": object, "tree_parent": object})
 
-    tree = own.groupBy("label").applyInPandas(grow, f"id {node_type}, tree_parent {node_type}, tree_depth long")
-    alone = nodes.select("id").distinct().join(labels.select(F.col("node").alias("id")), "id", "left_anti")
-    return tree.unionByName(alone.select("id", F.lit(None).cast(node_type).alias("tree_parent"), F.lit(0).cast("long").alias("tree_depth")))
+    return own.groupBy("label").applyInPandas(grow, f"id {node_type}, tree_parent {node_type}, tree_depth long").unionByName(alone)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..errors import QueryError
 from ..functions.normalize import pipeline
 from .graph import min_labels
+from .checkpoints import cut
 from .relational import fails
 
 #: Confidence classes, the strongest first, and alias misses.
@@ -88,7 +89,11 @@ def merge(planned: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
 
     A do_not_merge pair that ends in one component raises."""
     node = F.sha2(encoded([F.col("source"), F.col("row")]), 256)
-    rows = planned.where("merge_group is not null").select("source", "row", "merge_group", node.alias("node"))
+    rows = cut(planned.where("merge_group is not null").select("source", "row", "merge_group", node.alias("node")))
+    if reviewed is None and rows.groupBy("node").agg(F.min("merge_group").alias("one"), F.max("merge_group").alias("other")).where("one <> other").isEmpty():
+        # every row is in one group, so the groups are the components: one aggregate instead of rounds
+        least = rows.groupBy("merge_group").agg(F.min("node").alias("component"))
+        return rows.select("source", "row", "merge_group").distinct().join(least, "merge_group").select("source", "row", "component")
     edges = rows.select(F.col("node").alias("src"), F.concat(F.lit("g"), "merge_group").alias("dst"))
     if reviewed is not None:
         pairs = reviewed.select("decision", F.sha2(encoded([F.col("a_source"), F.col("a_row")]), 256).alias("src"), F.sha2(encoded([F.col("b_source"), F.col("b_row")]), 256).alias("dst"))
@@ -133,21 +138,46 @@ def resolve_aliases(observed: DataFrame, column: str, catalog: DataFrame, steps:
     return out.withColumn(column, F.lit("<redacted>")) if redact else out
 
 
+def import_aliases(spark, path: str, alias: str = "alias", canonical: str = "canonical", steps: list[str] | None = None) -> DataFrame:
+    """A catalogue (alias, canonical) from a tabular file: blank rows go, repeats count once, and an alias that names two
+    canonical values raises when the catalogue is read."""
+    from ..sources.files import read
+
+    rows = read(spark, path)
+    for c in (alias, canonical):
+        if c not in rows.columns:
+            raise QueryError("E_UNKNOWN_BINDING", f"no column {c}")
+    told = rows.select(F.trim(F.col(alias).cast("string")).alias("alias"), F.trim(F.col(canonical).cast("string")).alias("canonical")).where("alias <> '' and canonical <> ''")
+    told = told.withColumn("_key", pipeline(F.col("alias"), steps or []))
+    out = told.groupBy("_key").agg(F.min("alias").alias("alias"), F.min("canonical").alias("canonical"), F.max("canonical").alias("_other"))
+    return out.where(fails(F.col("canonical") != F.col("_other"), "E_REF_INVALID: alias of two values")).select("alias", "canonical")
+
+
 def candidates(rows: DataFrame, key: str, value: str, steps: list[str], prefix: int | None, threshold: int, scale: int = 100, pair_limit: int | None = None) -> DataFrame:
     """(left, right, block, score): pairs that share a token, within blocks of equal normalised prefixes, by token Jaccard.
 
-    Pairs come from shared tokens, so rows of a block without a common token never meet (their score is 0). With a pair
-    limit a rule that exceeds it gives no pairs at all."""
+    Two rows of a Jaccard of t or more share one of the n - ceil(t n) + 1 rarest tokens of each, so only these are joined:
+    common words, which meet everything, are seldom among them. Rows of a block without a common token never meet
+    (their score is 0). With a pair limit a rule that exceeds it gives no pairs at all."""
     normal = pipeline(F.col(value), steps)
     told = rows.select(F.col(key).cast("string").alias("id"), normal.alias("text")).where("text is not null")
     told = told.withColumn("block", F.substring("text", 1, prefix) if prefix else F.lit("")).withColumn("tokens", F.array_distinct(F.filter(F.split("text", r"\s+"), lambda t: t != "")))
-    each = told.select("id", "block", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    a, b = each.select(F.col("id").alias("left"), "block", "token", F.col("n").alias("n_left")), each.select(F.col("id").alias("right"), "block", "token", F.col("n").alias("n_right"))
-    shared = a.join(b, ["block", "token"]).where("left < right").groupBy("left", "right", "block", "n_left", "n_right").agg(F.count("*").alias("common"))
-    score = F.floor(F.col("common") * scale / (F.col("n_left") + F.col("n_right") - F.col("common"))).cast("long")
-    found = shared.select("left", "right", "block", score.alias("score")).where(F.col("score") >= threshold)
-    if pair_limit is not None and found.limit(pair_limit + 1).count() > pair_limit:
-        return found.limit(0)
+    told = cut(told.select("id", "block", "tokens"))
+    each = told.select("id", "block", "tokens", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    rare = each.join(often, "token").groupBy("id", "block", "tokens").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
+    keep = F.greatest(F.lit(0), F.size("t") - F.ceil(F.size("t") * F.lit(threshold) / F.lit(scale) - 1e-9).cast("int") + 1)
+    first = cut(rare.select("id", "block", "tokens", F.explode(F.slice("t", 1, F.least(F.size("t"), keep))).alias("x")).select("id", "block", "tokens", "x.token"))
+    a, b = first.select(F.col("id").alias("left"), "block", "token", F.col("tokens").alias("a")), first.select(F.col("id").alias("right"), "block", "token", F.col("tokens").alias("b"))
+    short = lambda x, y: F.least(F.size(x), F.size(y)) * scale >= F.greatest(F.size(x), F.size(y)) * threshold
+    common = F.size(F.array_intersect("a", "b"))
+    score = F.floor(common * scale / (F.size("a") + F.size("b") - common)).cast("long")
+    met = a.join(b, ["block", "token"]).where("left < right").where(short("a", "b")).select("left", "right", "block", score.alias("score"))
+    found = met.where(F.col("score") >= threshold).distinct()
+    if pair_limit is not None:
+        found = cut(found)
+        if found.limit(pair_limit + 1).count() > pair_limit:
+            return found.limit(0)
     return found
 
 

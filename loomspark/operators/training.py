@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import QueryError
 
-MILLION = 1_000_000
+MILLION, SEGMENT = 1_000_000, 100_000
 
 
 def key_number(key: Column) -> Column:
@@ -30,12 +31,23 @@ def split_of(key: Column) -> Column:
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int, payload: bool = True) -> DataFrame:
-    """(key, chunk, start, length, sha256[, payload]): consecutive spans of at most ``size`` characters."""
-    many = F.greatest(F.lit(1), F.ceil(F.char_length(text) / size))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text"), F.posexplode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("chunk", "_at"))
-    start = (F.col("_at") * size).cast("int")
-    span = F.substring(F.col("_text"), start + 1, F.lit(size))
-    out = rows.select(key, F.col("chunk").cast("long").alias("chunk"), start.cast("long").alias("start"), F.char_length(span).cast("long").alias("length"), F.sha2(span, 256).alias("sha256"), span.alias("payload"))
+    """(key, chunk, start, length, scalar_start, scalars, sha256[, payload]): consecutive spans of about ``size`` bytes of
+    the text in UTF-8, with their offsets in bytes and in characters. A character that crosses a multiple of ``size``
+    belongs to the span behind it, so a span is whole characters and at most 3 bytes longer."""
+    many = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / size))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), F.encode(F.col(text), "UTF-8").alias("_bytes"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("chunk"))
+    inside = lambda at: F.hex(F.substring("_bytes", at + 1, F.lit(1))).between("80", "BF")
+
+    def edge(number):
+        """Where the character begins that holds the byte at a multiple of ``size``."""
+        at = (number * size).cast("int")
+        moved = F.when(~inside(at), at).when(~inside(at - 1), at - 1).when(~inside(at - 2), at - 2).otherwise(at - 3)
+        return F.when(at >= F.octet_length("_bytes"), F.octet_length("_bytes")).when(at == 0, 0).otherwise(moved)
+
+    rows = rows.withColumns({"start": edge(F.col("chunk")), "_end": edge(F.col("chunk") + 1)})
+    span = F.decode(F.substring("_bytes", F.col("start") + 1, F.col("_end") - F.col("start")), "UTF-8")
+    before = F.char_length(F.decode(F.substring("_bytes", F.lit(1), F.col("start")), "UTF-8"))
+    out = rows.select(key, "chunk", F.col("start").cast("long").alias("start"), (F.col("_end") - F.col("start")).cast("long").alias("length"), before.cast("long").alias("scalar_start"), F.char_length(span).cast("long").alias("scalars"), F.sha2(span, 256).alias("sha256"), span.alias("payload"))
     return out if payload else out.drop("payload")
 
 
@@ -51,11 +63,36 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.size(words).cast("long").alias("n_tokens"), F.sha2(F.array_join(words, " "), 256).alias("token_hash"))
 
 
+def token_spans(docs: DataFrame, key: str, text: str, block: int = 128) -> DataFrame:
+    """(key, token, start, length, block): the white-space tokens of each text with their places in characters, and the
+    block of ``block`` tokens that each is in."""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"\s*\S+"), F.lit(0))
+    rows = docs.select(F.col(key), F.posexplode(pieces).alias("token", "_piece"))
+    end = F.sum(F.char_length("_piece")).over(Window.partitionBy(key).orderBy("token").rowsBetween(Window.unboundedPreceding, 0))
+    length = F.char_length(F.regexp_replace("_piece", r"^\s+", ""))
+    return rows.select(key, F.col("token").cast("long").alias("token"), (end - length).cast("long").alias("start"), length.cast("long").alias("length"), F.floor(F.col("token") / block).cast("long").alias("block"))
+
+
 def packs(sized: DataFrame, key: str, size: str, limit: int, by: list[str]) -> DataFrame:
-    """Consecutive rows of each group of ``by`` filled into packs by their running size: (by, key, pack, offset)."""
-    order = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(order), F.lit(0))
-    return sized.withColumn("_before", before).select(*by, key, size, F.floor(F.col("_before") / limit).cast("long").alias("pack"), (F.col("_before") % limit).cast("long").alias("offset"))
+    """(by, key, size, segment, pack, offset): consecutive rows of each group of ``by`` filled into packs of at most
+    ``limit``; a row that does not fit any more opens the next pack, and one that is larger has a pack of its own. Packs
+    are filled within segments of ``SEGMENT`` rows, one task each, so that a large group is many tasks."""
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1
+    rows = sized.select(*by, key, F.col(size).cast("long").alias(size), turn.alias("_turn")).withColumn("segment", F.floor(F.col("_turn") / SEGMENT).cast("long"))
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_turn")
+        places, offsets, pack, used = [], [], 0, 0
+        for x in part[size].fillna(0).astype("int64"):
+            if used and used + x > limit:
+                pack, used = pack + 1, 0
+            places.append(pack)
+            offsets.append(used)
+            used += int(x)
+        return part.assign(pack=places, offset=offsets).drop(columns="_turn")
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*by, "segment").applyInPandas(fill, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, key, size, "segment")), "pack long", "offset long"]))
 
 
 def samples(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -126,7 +163,8 @@ def verify(described: DataFrame) -> DataFrame:
 
 
 def sample_at(described: DataFrame, index: int) -> DataFrame:
-    return described.orderBy("sample_id").offset(index).limit(1)
+    """The sample at a place in the order of the ids: a top-k of each task, whose size is the place."""
+    return described.orderBy("sample_id").limit(index + 1).orderBy(F.col("sample_id").desc()).limit(1 if described.limit(index + 1).count() > index else 0)
 
 
 def withheld(df: DataFrame, column: str, allowed: Column, marker: str = "<withheld>") -> DataFrame:

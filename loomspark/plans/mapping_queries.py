@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import mapping
+from ..operators import mapping, projection, temporal
 from .registry import Area, read
+from .temporal_queries import LOG, memberships
 
 area = Area()
 
@@ -122,3 +123,88 @@ def _delta(spark, folder):
     before = state(rows.where("c_mktsegment <> 'FURNITURE'"), F.col("c_name"))
     after = state(rows.where("c_mktsegment <> 'BUILDING'"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "new").otherwise(F.col("c_name")))
     return mapping.semantic_delta(before, after, 2, 2).select("goid", "record_kind")
+
+
+# ---- projections: every grain and every temporal mode over the users' log and that of their memberships
+def model(spark, folder) -> projection.Model:
+    told = memberships(spark, folder)
+    users = told.records.withColumn("goid", F.concat(F.lit("u"), "goid"))
+    return projection.Model(users, told.edge_records, users.select("goid", F.col("record_id").alias("digest")), {"spent": "decimal(20,4)"})
+
+
+H = "WITH " + LOG.format(where="{0}") + " "
+ALIVE = "from_end = 1 AND record_kind <> 'tombstone'"
+RICH = "coalesce(CAST(spent AS DECIMAL(20,4)) > 20, false)"
+STATE = {"goid": "goid", "csn": "temporal.csn", "kind": "upper(last_type)", "level": "if(spent > 20, 'high', 'low')", "known": "exists(spent)", "shown": "coalesce(spent, 0)", "same": "if(last_type == 'purchase', true, false)", "truth": "if(last_type, 1, 0)"}
+STATE_SQL = f"SELECT 'u' || goid AS goid, csn, upper(last_type) AS kind, CASE WHEN {RICH} THEN 'high' ELSE 'low' END AS level, spent IS NOT NULL AS known, round(coalesce(CAST(spent AS DOUBLE), 0), 4) AS shown, last_type = 'purchase' AS same, CAST(1 AS BIGINT) AS truth FROM hist WHERE "
+area.frame("map_grain_object", lambda s, d: projection.projected(model(s, d), "one_row_per_object", "user", STATE), H.format("") + STATE_SQL + ALIVE)
+area.frame("map_grain_event_object", lambda s, d: projection.projected(model(s, d), "one_row_per_event_object", "user", STATE, "as_of_csn:700"), H.format("WHERE event_id <= 700") + STATE_SQL + ALIVE)
+area.frame("map_mode_time_cut", lambda s, d: projection.projected(model(s, d), "one_row_per_object", "user", STATE, "as_of_timestamp_us=1704240000000000"), H.format("WHERE epoch_us(ts) <= 1704240000000000") + STATE_SQL + ALIVE)
+area.frame("map_grain_as_of_time", lambda s, d: projection.projected(model(s, d), "one_row_per_object_as_of_time", "user", STATE, "full_history"), H.format("") + STATE_SQL + "record_kind <> 'tombstone'")
+AT_END = "CASE WHEN bool_or(record_kind = 'baseline') OVER (PARTITION BY goid, epoch) THEN 'u' || goid END"
+EDGE = {"goid": "association.goid", "source": "source_goid", "target": "target_goid", "last_type": "last_type"}
+EDGE_SQL = f"SELECT goid, source, CASE WHEN source IS NOT NULL THEN 'g' || (CAST(goid AS BIGINT) % 7) END AS target, last_type FROM (SELECT *, {AT_END} AS source FROM hist) WHERE " + ALIVE
+area.frame("map_grain_association", lambda s, d: projection.projected(model(s, d), "one_row_per_association", "member_of", EDGE), H.format("") + EDGE_SQL)
+area.frame("map_grain_link_object", lambda s, d: projection.projected(model(s, d), "one_row_per_link_object", "member_of", EDGE, "csn:700"), H.format("WHERE event_id <= 700") + EDGE_SQL)
+area.frame("map_grain_property_version", lambda s, d: projection.projected(model(s, d), "one_row_per_property_version", "user", {"goid": "goid", "csn": "csn", "property": "property", "value": "value"}), H.format("") + "SELECT 'u' || goid AS goid, csn, property, value FROM (SELECT goid, csn, unnest(['last_type', 'spent']) AS property, unnest([event_type, spent_now]) AS value FROM log WHERE record_kind <> 'tombstone') WHERE value IS NOT NULL")
+area.frame("map_grain_evidence", lambda s, d: projection.projected(model(s, d), "one_row_per_evidence_assertion", "user", {"object": "goid", "assertion": "digest"}), "SELECT 'u' || user_id AS object, CAST(event_id AS VARCHAR) AS assertion FROM events")
+area.frame("map_mode_full_history", lambda s, d: projection.projected(model(s, d), "one_row_per_object", "user", {"goid": "goid", "csn": "csn", "kind": "record.kind", "id": "record.id"}, "full_history"), H.format("") + "SELECT 'u' || goid AS goid, csn, record_kind AS kind, CAST(csn AS VARCHAR) AS id FROM log")
+area.frame("map_mode_commit_order", lambda s, d: projection.projected(model(s, d), "one_row_per_object", "user", {"goid": "goid", "csn": "csn", "at": "timestamp_us"}, "commit_order"), H.format("") + "SELECT 'u' || goid AS goid, csn, ts_us AS at FROM log")
+LINKS = "WITH RECURSIVE " + LOG.format(where="") + f", live AS (SELECT *, {AT_END} AS source FROM hist), m AS (SELECT * FROM live WHERE {ALIVE}) SELECT 'u' || h.goid AS goid, count(m.last_type) AS n, count(DISTINCT m.last_type) AS kinds, min(m.last_type) AS least, round(sum(CAST(m.spent AS DOUBLE)), 4) AS total, round(avg(CAST(m.spent AS DOUBLE)), 4) AS mean, coalesce(string_agg(m.goid, '+'), '') AS ids FROM hist h LEFT JOIN m ON m.source = 'u' || h.goid WHERE h.from_end = 1 AND h.record_kind <> 'tombstone' GROUP BY 1"
+area.frame("map_expression_associations", lambda s, d: _linked(s, d), LINKS)
+
+
+def _linked(spark, folder):
+    columns = {"goid": "goid", "n": "count(association.member_of.source.last_type)", "kinds": "distinct_count(association.member_of.last_type)", "least": "min(association.member_of.source.last_type)", "total": "sum(association.member_of.source.spent)", "mean": "avg(association.member_of.spent)", "ids": "association(member_of, source)"}
+    out = projection.projected(model(spark, folder), "one_row_per_object", "user", columns)
+    return out.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 4), "ids": F.array_join("ids", "+")})
+
+
+def orders_model(spark, folder) -> projection.Model:
+    """Orders as objects that hold from their date, for a year unless they are final, and were seen unless they are open."""
+    o, none = read(spark, folder, "orders"), F.lit(None).cast("string")
+    props = F.create_map(F.lit("valid_from"), F.col("o_orderdate").cast("string"), F.lit("valid_to"), F.when(F.col("o_orderstatus") != "F", (F.col("o_orderdate") + F.expr("interval 365 days")).cast("string")), F.lit("observed_at"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("string")).otherwise(none))
+    records = o.select(F.lit("order").alias("object_type"), F.lit(0).cast("long").alias("branch_key"), F.col("o_orderkey").cast("string").alias("goid"), F.lit("r").alias("record_id"), F.lit(0).cast("long").alias("ts_us"), F.lit(1).cast("long").alias("csn"), F.lit("baseline").alias("record_kind"), props.alias("props"))
+    return projection.Model(records, types={"valid_from": "timestamp_ntz", "valid_to": "timestamp_ntz", "observed_at": "timestamp_ntz"})
+
+
+area.frame("map_mode_valid_time", lambda s, d: projection.projected(orders_model(s, d), "one_row_per_object", "order", {"goid": "goid"}, "valid_time", "1996-06-01 00:00:00"), "SELECT CAST(o_orderkey AS VARCHAR) AS goid FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-01' AND (o_orderstatus = 'F' OR TIMESTAMP '1996-06-01' < o_orderdate + INTERVAL 365 DAY)")
+area.frame("map_mode_observed_time", lambda s, d: projection.projected(orders_model(s, d), "one_row_per_object", "order", {"goid": "goid", "at": "observed_at"}, "observed_time"), "SELECT CAST(o_orderkey AS VARCHAR) AS goid, o_orderdate AS at FROM orders WHERE o_orderstatus <> 'O'")
+
+
+# ---- row semantics: customers of each segment mean something else
+def _rows(spark, folder):
+    rows = read(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"), "c_name", F.lit("segment").alias("name"), F.col("c_mktsegment").alias("value"), F.lit(1).cast("long").alias("csn"), F.lit(0).cast("long").alias("ts_us"))
+    rule = lambda kind, **more: projection.RowRule(kind, "customer", "id", **more)
+    link = [("lives_in", "nation")]
+    by_value = {
+        "BUILDING": rule("Object", properties=["c_name", "nation"], links=link), "FURNITURE": rule("AssociationOnly", links=link), "HOUSEHOLD": rule("EvidenceOnly"), "MACHINERY": rule("Tombstone", links=link),
+        "AUTOMOBILE": rule("Composite", parts=[rule("LinkObject", properties=["c_name"], links=link), rule("KeyValueFragment", operation="patch"), rule("ProjectionOnly")]),
+    }
+    return projection.materialised(rows, projection.RowRule("Dispatched", dispatch="c_mktsegment", by_value=by_value))
+
+
+def _row_kinds(spark, folder):
+    made = _rows(spark, folder)
+    logs = made["records"].select(F.lit("records").alias("what"), "goid", "record_kind").unionByName(made["edge_records"].select(F.lit("edges").alias("what"), F.col("goid"), "record_kind"))
+    return logs.unionByName(made["evidence"].select(F.lit("evidence").alias("what"), "goid", F.lit("").alias("record_kind")))
+
+
+area.frame("map_row_kinds", _row_kinds, """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS m, 'lives_in>' || c_custkey || '>' || c_nationkey AS link FROM customer)
+SELECT 'records' AS what, id AS goid, CASE m WHEN 'MACHINERY' THEN 'tombstone' ELSE 'delta' END AS record_kind FROM c WHERE m IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
+UNION ALL SELECT 'records', id, 'delta' FROM c WHERE m = 'AUTOMOBILE'
+UNION ALL SELECT 'edges', link, 'delta' FROM c WHERE m IN ('BUILDING', 'FURNITURE', 'AUTOMOBILE')
+UNION ALL SELECT 'evidence', id, '' FROM c UNION ALL SELECT 'evidence', id, '' FROM c WHERE m = 'AUTOMOBILE'""")
+area.frame("map_row_states", lambda s, d: temporal.states(_rows(s, d)["records"]).select("goid", F.element_at("props", F.lit("c_name")).alias("name"), F.element_at("props", F.lit("segment")).alias("segment")), "SELECT CAST(c_custkey AS VARCHAR) AS goid, c_name AS name, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN c_mktsegment END AS segment FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE')")
+for _miss, _shown in {"candidate_only": "NULL", "source_scoped": "c_mktsegment"}.items():
+    area.frame(f"map_alias_{_miss}", lambda s, d, m=_miss: _missed(s, d, m), f"SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'home' ELSE {_shown} END AS canonical, CASE WHEN c_mktsegment = 'BUILDING' THEN 'resolved' ELSE '{_miss}' END AS resolution FROM customer")
+
+
+def _missed(spark, folder, on_miss):
+    known = spark.createDataFrame([("building", "home")], "alias string, canonical string")
+    return mapping.resolve_aliases(read(spark, folder, "customer"), "c_mktsegment", known, ["trim_lower"], on_miss).select("c_custkey", "canonical", "resolution")
+
+
+for _function, _sql in {"sum": "coalesce(round(sum(o_totalprice), 4), 0)", "avg": "round(avg(o_totalprice), 4)"}.items():
+    area.frame(f"map_associated_{_function}", lambda s, d, f=_function: _associated(s, d, f).withColumn("value", F.round("value", 4)), f"SELECT 'c' || c_custkey AS goid, {_sql} AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1")
+area.frame("map_associated_list", lambda s, d: _associated(s, d, "list").select("goid", F.array_join(F.transform("value", lambda x: x.cast("decimal(20,2)").cast("string")), ",").alias("value")), "SELECT 'c' || c_custkey AS goid, coalesce(string_agg(CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR), ',' ORDER BY o_totalprice), '') AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1")

@@ -74,7 +74,7 @@ area.chain("join_left", 'table(customer) as c.join(table(orders) as o, on: c.c_c
 area.chain("join_right", "table(supplier) as s.join(table(nation) as n, on: s.s_nationkey == n.n_nationkey, kind: right).select(s.s_suppkey, n.n_name)", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
 area.chain("join_full", "table(supplier) as s.join(table(customer) as c, on: s.s_suppkey == c.c_custkey, kind: full).select(s.s_suppkey, c.c_custkey)", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 area.chain("join_semi", "table(customer) as c.semiJoin(table(orders) as o, on: c.c_custkey == o.o_custkey && o.o_totalprice > 200000).select(c_custkey)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-area.chain("join_anti", "table(customer) as c.antiJoin(table(orders) as o, on: c.c_custkey == o.o_custkey).select(c_custkey)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+area.chain("join_anti", "table(customer) as c.antiJoin(table(orders) as o, on: c.c_custkey == o.o_custkey && o.o_totalprice > 300000).select(c_custkey)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 area.chain("join_theta_range", "table(nation) as n.join(table(region) as r, on: n.n_regionkey > r.r_regionkey).select(n.n_name, r.r_name)", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey > r_regionkey")
 area.chain("join_null_safe", "table(some_keys) as a.join(table(some_keys) as b, on: a.k == b.k, nulls_match: true).select(x: a.k, y: b.k)",
            "WITH s AS (SELECT CASE WHEN n_nationkey < 20 THEN CAST(n_nationkey AS BIGINT) END AS k FROM nation) SELECT a.k AS x, b.k AS y FROM s a JOIN s b ON a.k IS NOT DISTINCT FROM b.k",
@@ -108,6 +108,17 @@ area.chain("agg_thresholded", "table(customer).groupBy(c_nationkey, c_mktsegment
 area.chain("agg_topk_values", "table(lineitem).groupBy(l_partkey).select(l_partkey, n: count(*)).orderBy(n, desc).take(20)", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20")
 area.chain("agg_histogram", "table(lineitem).groupBy(l_quantity).select(l_quantity, n: count(*))", "SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1")
 area.frame("agg_bool_counts", lambda s, d: read(s, d, "labels").agg(F.count_if(F.col("quality") == 1).alias("n_true"), F.count_if(F.col("quality") == 0).alias("n_false")), "SELECT count(*) FILTER (quality = 1) AS n_true, count(*) FILTER (quality = 0) AS n_false FROM labels")
+area.frame("agg_approx_distinct_bound", lambda s, d: read(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("b"), F.count_distinct("l_orderkey").alias("orders")).select("parts", "orders", (F.abs(F.col("a") / F.col("parts") - 1) <= 0.08).alias("parts_near"), (F.abs(F.col("b") / F.col("orders") - 1) <= 0.08).alias("orders_near")), "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders, true AS parts_near, true AS orders_near FROM lineitem")
+area.frame("agg_quantile_bound", lambda s, d: _quantiles_near(read(s, d, "lineitem")), "SELECT CAST(q AS DOUBLE) AS q, true AS near FROM (VALUES (0.5), (0.9), (0.99)) t(q)")
+
+
+def _quantiles_near(lines):
+    """Whether the rank of each approximate quantile is within one per cent of the rows of its own."""
+    found = lines.agg(F.percentile_approx("l_extendedprice", [0.5, 0.9, 0.99]).alias("v")).select(F.explode(F.arrays_zip(F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)).alias("q"), "v")).alias("x")).select("x.q", "x.v")
+    counted = lines.join(F.broadcast(found)).groupBy("q").agg(F.avg((F.col("l_extendedprice") <= F.col("v")).cast("double")).alias("rank"))
+    return counted.select("q", (F.abs(F.col("rank") - F.col("q")) <= 0.01).alias("near"))
+
+
 area.frame("agg_approx_distinct", lambda s, d: read(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("orders")), None)
 area.frame("agg_quantile_sketch", lambda s, d: read(s, d, "lineitem").agg(F.percentile_approx("l_extendedprice", [0.5, 0.9, 0.99]).alias("quantiles")), None)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import temporal
+from ..operators import checkpoints, temporal
 from ..sources.catalog import Catalog
+from ..streaming import events
 from .chain import query
 from .registry import Area, read
 
@@ -13,11 +16,15 @@ area = Area()
 
 
 def records(spark, folder):
+    return log_of(read(spark, folder, "events"))
+
+
+def log_of(told):
     """signup is a baseline, error a tombstone, all others deltas; props are the event's type and value."""
     kind = F.when(F.col("event_type") == "signup", "baseline").when(F.col("event_type") == "error", "tombstone").otherwise("delta")
     value = F.col("value").cast("decimal(20,4)").cast("string")
     props = F.when(F.col("event_type") == "purchase", F.create_map(F.lit("last_type"), F.col("event_type"), F.lit("spent"), value)).otherwise(F.create_map(F.lit("last_type"), F.col("event_type")))
-    return read(spark, folder, "events").select(
+    return told.select(
         F.lit("user").alias("object_type"), F.lit(0).cast("long").alias("branch_key"), F.col("user_id").cast("string").alias("goid"), F.col("event_id").cast("string").alias("record_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_id").alias("csn"), kind.alias("record_kind"), props.alias("props"),
     )
@@ -162,9 +169,24 @@ def _patched(spark, folder):
     return temporal.patched(base, patches).select("goid", F.element_at("props", F.lit("segment")).alias("segment"), F.element_at("props", F.lit("nation")).alias("nation"))
 
 
-# ---- the streaming extension in its batch form
-area.frame("stream_tumbling_equiv", lambda s, d: read(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.unix_micros("window.start").alias("start_us"), "event_type", "n"), "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-area.frame("stream_session_equiv", lambda s, d: read(s, d, "events").groupBy(F.session_window(F.col("ts").cast("timestamp"), "30 minutes"), "user_id").agg(F.count("*").alias("n")).select(F.unix_micros("session_window.start").alias("start_us"), "user_id", "n"),
+# ---- streams: the operators on the events as a batch, and a log that a stream appends to
+area.frame("stream_tumbling_equiv", lambda s, d: events.windowed(read(s, d, "events"), "1 hour").select(F.unix_micros("start").alias("start_us"), "event_type", "n"), "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+area.frame("stream_sliding_equiv", lambda s, d: events.windowed(read(s, d, "events"), "2 hours", "1 hour").select(F.unix_micros("start").alias("start_us"), "event_type", "n"), "SELECT epoch_us(start) AS start_us, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, event_type FROM events) GROUP BY 1, 2")
+area.frame("stream_running_totals", lambda s, d: events.running_totals(read(s, d, "events")).select("user_id", "n", F.round("total", 4).alias("total")), "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+area.frame("stream_deduplicated", lambda s, d: events.deduplicated(read(s, d, "events").unionAll(read(s, d, "events"))).select("event_id"), "SELECT event_id FROM events")
+area.frame("stream_appended_log", lambda s, d: _appended(s, d), LATEST.format(where=""))
+
+
+def _appended(spark, folder):
+    """The states of a log that a stream of the events wrote, batch by batch, into the shared checkpoint folder."""
+    at = f"{checkpoints.folder(spark)}/loomspark-stream-{uuid.uuid4().hex}"
+    stream = events.source(spark, f"{folder}/[e]vents.parquet", read(spark, folder, "events").schema)
+    events.append_log(stream, log_of, f"{at}/log", f"{at}/state").awaitTermination()
+    checkpoints.delete_at_end(spark, at)
+    return temporal.states(spark.read.parquet(f"{at}/log").drop("batch")).select("goid", "csn", *[F.element_at("props", F.lit(c)).alias(c) for c in ("last_type", "spent")])
+
+
+area.frame("stream_session_equiv", lambda s, d: events.sessions(read(s, d, "events"), "30 minutes").select(F.unix_micros("start").alias("start_us"), "user_id", "n"),
            """WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 sessions AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked)
 SELECT epoch_us(min(ts)) AS start_us, user_id, count(*) AS n FROM sessions GROUP BY user_id, session""")

@@ -96,6 +96,118 @@ def test_graph_algorithms(net):
     assert as_dict(graph.spanning_tree(nodes, edges, "min_weight", "weight"), "tree_parent")[3] == 2
 
 
+def test_trees_and_triangles_against_brute_force(spark):
+    """Several components with ties of weights and edges in both directions, against sequential algorithms."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"e{i}", rng.randrange(40), rng.randrange(40), float(rng.randrange(4))) for i in range(60)] + [(f"f{i}", 100 + i, 101 + i, 1.0) for i in range(5)]
+    edges = spark.createDataFrame(rows, "edge string, src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in [*range(42), *range(100, 107)]], "id long")
+
+    def bfs(pairs):
+        near = {n: set() for p in pairs for n in p}
+        for a, b in pairs:
+            near[a].add(b)
+            near[b].add(a)
+        out, seen = {}, set()
+        for start in sorted(near):
+            if start in seen:
+                continue
+            seen.add(start)
+            out[start] = (None, 0)
+            line = [start]
+            while line:
+                node = line.pop(0)
+                for x in sorted(near[node]):
+                    if x not in seen:
+                        seen.add(x)
+                        out[x] = (node, out[node][1] + 1)
+                        line.append(x)
+        return out
+
+    every = [(a, b) for _, a, b, _ in rows]
+    alone = {r["id"]: (None, 0) for r in nodes.collect()}
+    assert as_dict(graph.spanning_tree(nodes, edges), "tree_parent", "tree_depth") == alone | bfs(every)
+    root, kept = {n: n for p in every for n in p}, []
+    find = lambda x: x if root[x] == x else find(root[x])
+    for _, a, b, _ in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if find(a) != find(b):
+            root[find(b)] = find(a)
+            kept.append((a, b))
+    loops = {a: (None, 0) for a, b in every if a == b}
+    assert as_dict(graph.spanning_tree(nodes, edges, "min_weight", "weight"), "tree_parent", "tree_depth") == alone | loops | bfs(kept)
+    out = {}
+    for a, b in every:
+        if a != b:
+            out.setdefault(a, set()).add(b)
+    want = {n: sum(y in out.get(x, ()) for x in out.get(n, ()) for y in out.get(n, ()) if x != y) // 2 for n in alone}
+    assert as_dict(graph.triangles(nodes, edges), "triangles") == want
+
+
+def test_candidates_against_all_pairs(spark):
+    import random
+
+    from loomspark.operators import mapping
+
+    rng = random.Random(4)
+    words = ["company", "ltd", *(f"w{i}" for i in range(30))]
+    rows = [(i, " ".join(["company", *rng.choices(words, k=rng.randint(0, 5))])) for i in range(120)]
+    sets = {str(i): set(t.split()) for i, t in rows}
+    for threshold in (0, 30, 60, 100):
+        got = {(r["left"], r["right"], r["score"]) for r in mapping.candidates(spark.createDataFrame(rows, "id long, t string"), "id", "t", [], None, threshold).collect()}
+        want = {(a, b, 100 * len(x & y) // len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b}
+        assert got == {w for w in want if w[2] >= threshold}
+
+
+def test_alias_import(spark, tmp_path):
+    from loomspark.operators import mapping
+
+    path = f"{tmp_path}/aliases.csv"
+    with open(path, "w") as out:
+        out.write("alias,canonical\nAcme,acme\n ACME ,acme\n,none\nOther,other\n")
+    told = mapping.import_aliases(spark, path, steps=["trim_lower"])
+    assert {(r["alias"], r["canonical"]) for r in told.collect()} == {("ACME", "acme"), ("Other", "other")}
+    with open(path, "a") as out:
+        out.write("acme,another\n")
+    with pytest.raises(Exception, match="E_REF_INVALID"):
+        mapping.import_aliases(spark, path, steps=["trim_lower"]).collect()
+
+
+def test_quantised_search_recall(spark):
+    """At least 0.9 of the ten best, over many queries, against the exact search."""
+    import numpy as np
+
+    from loomspark.operators import vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(800, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    hit = 0
+    for i in range(0, 800, 50):
+        best = set(np.argsort(-(x @ x[i]), kind="stable")[:10].tolist())
+        hit += len(best & {r["vec_id"] for r in vectors.pq_search(df, x[i].tolist()).collect()})
+    assert hit >= 0.9 * 10 * 16
+
+
+def test_projection_expressions(spark):
+    from loomspark.operators import projection
+
+    records = spark.createDataFrame([("o", 0, "a", "r1", 1, 1, "baseline", {"name": " Ab ", "n": "3", "none": None, "empty": "", "flag": "false"}), ("o", 0, "b", "r2", 1, 1, "baseline", {"name": "é"})], "object_type string, branch_key long, goid string, record_id string, ts_us long, csn long, record_kind string, props map<string,string>")
+    told = projection.Model(records, types={"n": "long", "flag": "boolean"})
+    text = {
+        "trimmed": "upper(trim(name))", "up": "upper('é x')", "first": "coalesce(none, empty, name)", "eq": "if(none == null, 1, 0)", "text": "if('b' > \"a\", 1, 0)", "mixed": "if(n == '3', 1, 0)", "number": "if(n >= 3, 'y', 'n')",
+        "empty_is": "if(empty, 1, 0)", "flag_is": "ifelse(flag, 1, 0)", "nested": "if(n < 2, 'a, b', lower(identity('C)')))", "counted": "count(n)", "there": "exists(none)",
+    }
+    got = {r["id"]: r.asDict() for r in projection.projected(told, "one_row_per_object", "o", {"id": "goid", **text}).collect()}
+    assert got["a"] == {"id": "a", "trimmed": "AB", "up": "é X", "first": "", "eq": 1, "text": 1, "mixed": 0, "number": "y", "empty_is": 0, "flag_is": 0, "nested": "c)", "counted": 1, "there": False}
+    assert got["b"]["number"] == "n" and got["b"]["first"] == "é" and got["b"]["counted"] == 0
+    for bad in (("one_row_per_day", "latest_committed", "goid"), ("one_row_per_object", "sometimes", "goid"), ("one_row_per_object", "valid_time", "goid"), ("one_row_per_object", "latest_committed", "nothing(goid)"), ("one_row_per_association", "latest_committed", "goid")):
+        with pytest.raises(QueryError):
+            projection.projected(told, bad[0], "o", {"x": bad[2]}, bad[1])
+
+
 def test_ranks_against_dense_iteration(net):
     import numpy as np
 

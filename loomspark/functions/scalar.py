@@ -56,6 +56,9 @@ SIMPLE = {
     "upper": (1, F.upper),
     "uppercase": (1, F.upper),
     "startsWith": (2, lambda x, p: x.startswith(p)),
+    "contains": (2, lambda x, p: x.contains(p)),
+    "isNaN": (1, lambda x: F.isnan(x) & x.isNotNull()),
+    "isFinite": (1, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))),
     "isNull": (1, lambda x: x.isNull()),
     "isNotNull": (1, lambda x: x.isNotNull()),
 }

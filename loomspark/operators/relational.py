@@ -83,6 +83,27 @@ def sort_key(x: Column, direction: str = "asc", nulls: str | None = None) -> Col
     return getattr(x, f"{direction}_{nulls}")()
 
 
+#: What a sum of 64-bit integers does beyond their range.
+OVERFLOW = ("checked", "saturating", "wrapping", "widened")
+
+
+def summed(column: str, policy: str = "checked") -> Column:
+    """A sum of longs. checked raises beyond their range, saturating stays at its end, wrapping goes on at the other end,
+    and widened is a decimal of 38 digits. All are plain sums, combined before the shuffle."""
+    if policy not in OVERFLOW:
+        raise QueryError("E_UNKNOWN_BINDING", f"overflow {policy}")
+    wide = F.sum(F.col(column).cast("decimal(19,0)")).cast("decimal(38,0)")
+    low, high = (F.lit(x).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1))
+    if policy == "widened":
+        return wide
+    if policy == "saturating":
+        return F.least(F.greatest(wide, low), high).cast("long")
+    if policy == "wrapping":
+        whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
+        return (F.pmod(wide - low, whole) + low).cast("long")
+    return F.when((wide < low) | (wide > high), F.raise_error(F.lit("E_EXPRESSION: overflow")).cast("long")).otherwise(wide.cast("long"))
+
+
 def thresholded(value: Column, least: int) -> tuple[Column, Column]:
     """A group's value and whether it is suppressed, for groups of fewer than ``least`` rows."""
     small = F.count(F.lit(1)) < least

@@ -191,6 +191,14 @@ def compacted(records: DataFrame) -> DataFrame:
     return states(records, tombstones=True).select(*KEY, "record_id", "ts_us", "csn", kind.alias("record_kind"), "props")
 
 
+def checkpointed(records: DataFrame, csn: int) -> DataFrame:
+    """A chain with what it says up to a commit number as one snapshot of each object, and the records after it as they
+    are: later reads have the same states from fewer records, but none before that number."""
+    upto, after = records.where(F.col("csn") <= csn), records.where(F.col("csn") > csn)
+    kind = F.when(F.col("record_kind") == "baseline", "snapshot").otherwise(F.col("record_kind"))
+    return compacted(upto).withColumn("record_kind", kind).unionByName(after.select(*KEY, "record_id", "ts_us", "csn", "record_kind", "props"))
+
+
 def read_advice(base_rows: int, delta_rows: int, deltas: int, most_deltas: int = 8, most_share: float = 0.5) -> str:
     """What to do about read amplification: nothing, checkpoint or compact."""
     if base_rows and delta_rows / base_rows > most_share:

@@ -23,6 +23,8 @@ area.chain("filter_timestamp", 'table(orders).where(o_orderdate >= "1995-01-01T0
 area.chain("expr_if", 'table(part).select(p_partkey, bucket: if(p_size > 25, "large", "small"), size: if(p_size > 40, null, p_size))', "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS bucket, CAST(CASE WHEN p_size > 40 THEN NULL ELSE p_size END AS BIGINT) AS size FROM part")
 area.frame("fn_trim", lambda s, d: read(s, d, "part").select("p_partkey", STEPS["trim"](F.concat(F.lit("\t "), "p_name", F.lit(" \n"))).alias("trimmed")), "SELECT p_partkey, trim(p_name) AS trimmed FROM part")
 area.chain("fn_case", "table(customer).select(c_custkey, low: lower(c_mktsegment), up: upper(c_name), same: identity(c_name))", "SELECT c_custkey, lower(c_mktsegment) AS low, upper(c_name) AS up, c_name AS same FROM customer")
+area.chain("fn_contains", 'table(part).where(contains(p_type, "AN")).select(p_partkey, p_type)', "SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'AN')")
+area.chain("fn_finite", "table(customer).select(c_custkey, finite: isFinite(c_acctbal), nan: isNaN(c_acctbal))", "SELECT c_custkey, isfinite(c_acctbal) AS finite, isnan(c_acctbal) AS nan FROM customer")
 area.chain("fn_starts_with", 'table(part).where(startsWith(p_type, "S")).select(p_partkey, p_type)', "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'S')")
 area.chain("fn_length", "table(documents).select(doc_id, n: length(text))", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
 area.chain("fn_length_array", "table(embeddings).select(vec_id, n: length(embedding), has: exists(embedding))", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, embedding IS NOT NULL AND len(embedding) > 0 AS has FROM embeddings")
@@ -108,6 +110,10 @@ area.chain("agg_thresholded", "table(customer).groupBy(c_nationkey, c_mktsegment
 area.chain("agg_topk_values", "table(lineitem).groupBy(l_partkey).select(l_partkey, n: count(*)).orderBy(n, desc).take(20)", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20")
 area.chain("agg_histogram", "table(lineitem).groupBy(l_quantity).select(l_quantity, n: count(*))", "SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1")
 area.frame("agg_bool_counts", lambda s, d: read(s, d, "labels").agg(F.count_if(F.col("quality") == 1).alias("n_true"), F.count_if(F.col("quality") == 0).alias("n_false")), "SELECT count(*) FILTER (quality = 1) AS n_true, count(*) FILTER (quality = 0) AS n_false FROM labels")
+for _policy, _sql in {"checked": "CAST(sum(v) AS BIGINT)", "saturating": "CAST(least(greatest(sum(v), -9223372036854775808), 9223372036854775807) AS BIGINT)", "wrapping": "CAST(((sum(v) + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808 AS BIGINT)", "widened": "round(CAST(sum(v) AS DOUBLE), 4)"}.items():
+    # the order keys of each status, so large (but for the checked sum) that their sums leave the range of 64 bits
+    _by = 1 if _policy == "checked" else 4_000_000_000_000_000
+    area.frame(f"agg_overflow_{_policy}", lambda s, d, p=_policy, by=_by: read(s, d, "orders").select("o_orderstatus", ((F.col("o_orderkey") % 2000 - 900) * F.lit(by)).alias("v")).groupBy("o_orderstatus").agg(relational.summed("v", p).alias("v")), f"SELECT o_orderstatus, {_sql} AS v FROM (SELECT o_orderstatus, CAST((o_orderkey % 2000 - 900) AS HUGEINT) * {_by} AS v FROM orders) GROUP BY 1")
 area.frame("agg_approx_distinct_bound", lambda s, d: read(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("b"), F.count_distinct("l_orderkey").alias("orders")).select("parts", "orders", (F.abs(F.col("a") / F.col("parts") - 1) <= 0.08).alias("parts_near"), (F.abs(F.col("b") / F.col("orders") - 1) <= 0.08).alias("orders_near")), "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders, true AS parts_near, true AS orders_near FROM lineitem")
 area.frame("agg_quantile_bound", lambda s, d: _quantiles_near(read(s, d, "lineitem")), "SELECT CAST(q AS DOUBLE) AS q, true AS near FROM (VALUES (0.5), (0.9), (0.99)) t(q)")
 

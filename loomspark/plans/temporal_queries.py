@@ -151,6 +151,8 @@ def _chain(spark, folder):
 area.frame("delta_chain_read", lambda s, d: temporal.states(_chain(s, d)).select("goid", "csn", F.element_at("props", F.lit("last_type")).alias("last_type"), F.element_at("props", F.lit("spent")).alias("spent")), LATEST.format(where=""))
 area.frame("delta_prune", lambda s, d: temporal.states(temporal.as_of(_chain(s, d).where(F.col("chain_ordinal").isin(temporal.pruned_chain([{"least_csn": 0, "least_ts_us": 0}, {"least_csn": 301, "least_ts_us": 0}, {"least_csn": 601, "least_ts_us": 0}], csn=500))), csn=500)).select("goid", "csn"), "WITH " + LOG.format(where="WHERE event_id <= 500") + " SELECT goid, csn FROM hist WHERE from_end = 1 AND record_kind <> 'tombstone'")
 area.frame("delta_compact", lambda s, d: temporal.states(temporal.compacted(_chain(s, d).drop("chain_ordinal"))).select("goid", "csn", F.element_at("props", F.lit("last_type")).alias("last_type"), F.element_at("props", F.lit("spent")).alias("spent")), LATEST.format(where=""))
+area.frame("delta_checkpoint", lambda s, d: temporal.states(temporal.checkpointed(_chain(s, d).drop("chain_ordinal"), 600)).select("goid", "csn", F.element_at("props", F.lit("last_type")).alias("last_type"), F.element_at("props", F.lit("spent")).alias("spent")), LATEST.format(where=""))
+area.frame("delta_checkpoint_records", lambda s, d: temporal.checkpointed(records(s, d), 600).groupBy("record_kind").agg(F.count("*").alias("n")), "WITH " + LOG.format(where="") + ", kept AS (SELECT CASE WHEN record_kind = 'tombstone' THEN record_kind ELSE 'snapshot' END AS record_kind FROM (SELECT *, row_number() OVER (PARTITION BY goid ORDER BY ts_us DESC, csn DESC) AS last FROM log WHERE csn <= 600) WHERE last = 1 UNION ALL SELECT record_kind FROM log WHERE csn > 600) SELECT record_kind, count(*) AS n FROM kept GROUP BY 1")
 area.frame("delta_touched", lambda s, d: _chain(s, d).where("chain_ordinal = 2").select("goid").distinct(), "SELECT DISTINCT CAST(user_id AS VARCHAR) AS goid FROM events WHERE event_id > 600")
 
 

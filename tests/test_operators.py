@@ -392,3 +392,16 @@ def test_checkpoint_tables_are_deleted(spark, tmp_path):
     assert not here(one) and here(other) and other.count() == 6
     checkpoints.drop(other)
     assert not here(other)
+
+
+def test_sums_beyond_the_range(spark):
+    from loomspark.operators import relational
+
+    df = spark.createDataFrame([(1, 2**63 - 1), (1, 5), (2, -(2**63)), (2, -7), (3, 4), (3, None)], "k int, v long")
+    told = lambda policy: {r["k"]: r["s"] for r in df.groupBy("k").agg(relational.summed("v", policy).alias("s")).collect()}
+    assert told("saturating") == {1: 2**63 - 1, 2: -(2**63), 3: 4}
+    assert told("wrapping") == {1: -(2**63) + 4, 2: 2**63 - 7, 3: 4}
+    assert {k: int(v) for k, v in told("widened").items()} == {1: 2**63 + 4, 2: -(2**63) - 7, 3: 4}
+    with pytest.raises(Exception, match="overflow"):
+        told("checked")
+    assert df.where("k = 3").agg(relational.summed("v").alias("s")).first()["s"] == 4

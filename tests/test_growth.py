@@ -4,6 +4,8 @@ import contextlib
 import io
 
 import __spark_entry__ as entry
+import numpy as np
+from loomspark.operators import graph, packs
 
 
 def plan_of(df) -> str:
@@ -20,3 +22,33 @@ def test_sketches_are_not_grouped_by_exact_keys(spark):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     want = (lines.select("l_partkey").distinct().count(), lines.select("l_orderkey").distinct().count(), True, True)
     assert [tuple(r) for r in found.collect()] == [want]
+
+
+def test_triangles_of_a_graph_of_open_paths(spark):
+    """Two sides that are not closed are never a row: a dense two-sided graph has only paths, and one chord closes some."""
+    rows = [(f"{i}-{j}", i, 100 + j) if (i + j) % 3 else (f"{i}-{j}", 100 + j, i) for i in range(30) for j in range(40)]
+    rows += [("back", 100, 1), ("chord", 3, 9), ("loop", 5, 5), ("again", 3, 9)]
+    edges = spark.createDataFrame(rows, "edge string, src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(31), *range(100, 140)]], "id long")
+    out = {}
+    for _, a, b in rows:
+        out.setdefault(a, set()).add(b)
+    want = {r["id"]: sum(1 for x in out.get(r["id"], set()) - {r["id"]} for y in out[r["id"]] - {r["id"]} if x != y and y in out.get(x, ())) // 2 for r in nodes.collect()}
+    found = graph.triangles(nodes, edges)
+    assert "MapInArrow" in plan_of(found)
+    assert {r["id"]: r["triangles"] for r in found.collect()} == want and sum(want.values()) > 0
+
+
+def test_packed_lists_come_back():
+    lists = [[], [0], [5, 6, 127, 128, 20_000], [], [1 << 38, (1 << 38) + 1], [3]]
+    sizes = np.array([len(x) for x in lists])
+    ends, data = packs.pack(sizes, np.array(sum(lists, []), np.int64))
+    row, value = packs.unpack(np.diff(np.concatenate([[0], ends])), data)
+    assert list(zip(row.tolist(), value.tolist(), strict=True)) == [(i, x) for i, one in enumerate(lists) for x in one]
+    assert packs.pack(np.array([0]), np.zeros(0, np.int64))[1].size == 0
+
+
+def test_both_directions_from_one_reading(spark):
+    edges = spark.createDataFrame([("a", 1, 2)], "edge string, src long, dst long")
+    both = graph.oriented(edges, "either")
+    assert "Union" not in plan_of(both) and sorted(map(tuple, both.collect())) == [("a", 1, 2), ("a", 2, 1)]

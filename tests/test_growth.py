@@ -6,7 +6,8 @@ import io
 
 import __spark_entry__ as entry
 import numpy as np
-from loomspark.operators import graph, packs
+from loomspark.operators import checkpoints, graph, packs
+from pyspark.sql import functions as F
 
 
 def plan_of(df) -> str:
@@ -69,3 +70,31 @@ def test_components_do_not_read_all_edges_in_every_round(spark, monkeypatch):
             want[a] = want[b] = min(want[a], want[b])
     assert found == want
     assert sum(df.count() for df in written) < 20 * len(rows)  # 13 times; with every round whole it was 49 times
+
+
+def test_trees_move_no_edges_in_their_rounds(spark, monkeypatch):
+    """A large table of pairs is dealt by each end once, and joins by that end then move only their other side."""
+    monkeypatch.setattr(checkpoints, "ROWS_KEYED", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sides = spark.range(300).select(F.concat(F.lit("n"), F.col("id")).alias("src"), F.concat(F.lit("n"), (F.col("id") * 7 + 3) % 300).alias("dst"))
+        dealt = checkpoints.keyed(checkpoints.cut(sides), "src")
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, sides.collect()))
+        joined = dealt.join(spark.range(9).select(F.concat(F.lit("n"), "id").alias("src")), "src")
+        assert plan_of(joined).count("Exchange hashpartitioning") == 1
+        tree = {r["id"]: (r["tree_parent"], r["tree_depth"]) for r in graph.spanning_tree(sides.select(F.col("src").alias("id")), sides.withColumn("edge", F.lit(0))).collect()}
+        near = {}
+        for a, b in map(tuple, sides.collect()):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want = {}
+        for root in sorted(near):
+            line = [root] if root not in want else []
+            want.update({x: (None, 0) for x in line})
+            for x in line:
+                for y in sorted(near[x] - set(want)):
+                    want[y] = (x, want[x][1] + 1)
+                    line.append(y)
+        assert tree == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -228,16 +228,17 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     ids = cut(nodes.select("id").distinct())
     n = ids.count()
-    pairs = neighbours(edges).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    out = pairs.groupBy("src").agg(F.count("*").alias("many"))
-    links = cut(pairs.join(out, "src"))
-    ranks = cut(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.lit(1.0 / max(1, n)).alias("rank"), F.col("many").isNull().alias("sink"), F.lit(0.0).alias("move")))
+    # a src that is no node has no rank to share, so only the other end is asked for
+    links = keyed(cut(neighbours(edges).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")), "src")
+    out = cut(links.groupBy("src").agg(F.count("*").alias("many")))
+    ranks = cut(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.lit(1.0 / max(1, n)).alias("rank"), "many", F.lit(0.0).alias("move")))
     for _ in range(iterations):
-        lost = ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        lost = ranks.where("many is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         base = (1 - DAMPING) / n + DAMPING * lost / n
-        into = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("many")).alias("into"))
+        share = ranks.where("many is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("many")).alias("share"))
+        into = links.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("into"))
         new = F.lit(base) + F.lit(DAMPING) * F.coalesce("into", F.lit(0.0))
-        ranks = cut(ranks.join(into, "id", "left").select("id", new.alias("rank"), "sink", F.abs(new - F.col("rank")).alias("move")))
+        ranks = cut(ranks.join(into, "id", "left").select("id", new.alias("rank"), "many", F.abs(new - F.col("rank")).alias("move")))
         if ranks.agg(F.sum("move")).first()[0] <= tolerance:
             break
     return ranks.select("id", "rank")
@@ -298,18 +299,22 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def communities(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """(id, community) by synchronous label propagation: the most frequent label among in- and out-neighbours, the
     smallest among equals; labels start as places in node order."""
-    links = cut(oriented(edges, "either"))
-    places = ranked(nodes, "id").select("id", (F.col("rank") - 1).alias("label"))
-    labels = cut(places)
+    places = cut(ranked(nodes, "id").select("id", (F.col("rank") - 1).cast("long").alias("place")))
+    number = lambda end: places.select(F.col("id").alias(end), F.col("place").alias(f"_{end}"))
+    # places instead of ids, with the repeats of edges, which are votes; an end that is no node neither votes nor takes
+    pairs = cut(edges.select("src", "dst").join(number("src"), "src").select("_src", "dst").join(number("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")))
+    pairs = {end: keyed(pairs, end) for end in ("src", "dst")}
+    labels = places.select(F.col("place").alias("id"), F.col("place").alias("label"))
     for _ in range(iterations):
-        votes = links.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count("*").alias("n"))
+        told = [pairs[by].join(labels.select(F.col("id").alias(by), "label"), by).select(F.col(to).alias("id"), "label") for by, to in (("dst", "src"), ("src", "dst"))]
+        votes = told[0].unionByName(told[1]).groupBy("id", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("best"))
         new = cut(labels.join(best, "id", "left").select("id", F.col("label").alias("old"), F.coalesce("best", "label").alias("label")))
         stable = new.where("label <> old").isEmpty()
         labels = new.drop("old")
         if stable:
             break
-    return labels.withColumnRenamed("label", "community")
+    return places.join(labels.select(F.col("id").alias("place"), F.col("label").alias("community")), "place").select("id", "community")
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, deepest: int = 64) -> DataFrame:

@@ -98,3 +98,27 @@ def test_trees_move_no_edges_in_their_rounds(spark, monkeypatch):
         assert tree == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rounds_of_ranks_and_labels_read_dealt_numbers(spark, monkeypatch):
+    """Edges with repeats and with ends that are no nodes; ranks read them dealt by src, labels as numbers without names."""
+    dealt = []
+    monkeypatch.setattr(checkpoints, "ROWS_KEYED", 1)
+    monkeypatch.setattr(graph, "keyed", lambda df, end: dealt.append((end, dict(df.dtypes)["src"])) or checkpoints.keyed(df, end))
+    names = [f"n{i}" for i in range(12)]
+    rows = [(names[i], names[(i * 5 + 2) % 12]) for i in range(11)] * 2 + [("n1", "n7"), ("gone", "n3"), ("n4", "away")]
+    nodes, edges = spark.createDataFrame([(x,) for x in names], "id string"), spark.createDataFrame([("e", a, b) for a, b in rows], "edge string, src string, dst string")
+    own = {(a, b) for a, b in rows if a in names and b in names}
+    ranks = {x: 1 / 12 for x in names}
+    for _ in range(4):
+        many = {x: sum(a == x for a, _ in own) for x in names}
+        lost = sum(ranks[x] for x in names if not many[x])
+        ranks = {x: (0.15 + 0.85 * lost) / 12 + 0.85 * sum(ranks[a] / many[a] for a, b in own if b == x) for x in names}
+    found = {r["id"]: r["rank"] for r in graph.page_rank(nodes, edges, 4).collect()}
+    assert all(abs(found[x] - ranks[x]) < 1e-12 for x in names) and dealt == [("src", "string")]
+    labels = {x: i for i, x in enumerate(sorted(names))}
+    for _ in range(3):
+        votes = {x: [labels[b if a == x else a] for a, b in rows if x in (a, b) and a in names and b in names] for x in names}
+        labels = {x: min(votes[x], key=lambda v: (-votes[x].count(v), v)) if votes[x] else labels[x] for x in names}
+    assert {r["id"]: r["community"] for r in graph.communities(nodes, edges, 3).collect()} == labels
+    assert dealt[1:] == [("src", "bigint"), ("dst", "bigint")]
